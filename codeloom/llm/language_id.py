@@ -141,7 +141,9 @@ def train(rows: list[tuple[str, str]], vocabulary: str) -> tuple[list[str], np.n
         for w, c in Counter(raw[s:e] for s, e in zip(starts, ends, strict=True)).items():
             table.setdefault(letters_only(w), Counter())[lang] += c
     table.pop("", None)
-    counts = np.array([[c[x] for x in langs] for c in table.values()], float).reshape(-1, len(langs))
+    if not table:
+        return [], np.zeros((0, 0))
+    counts = np.array([[c[x] for x in langs] for c in table.values()], float)
     return langs, expectation_maximisation(Pieces(vocabulary), list(table), counts)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import arrow_tokens, language_id, packing, quality_ledger, sentencepiece_offsets, shuffle_shards, token_attribution, toxicity
+from codeloom.llm import arrow_tokens, language_id, near_dedup, nn_descent, packing, quality_ledger, sentencepiece_offsets, shuffle_shards, token_attribution, toxicity
 from codeloom.llm.common import shared_dir
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_tokens.read_tokens(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32", "file_no", "file_start")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nn_descent.nearest(vectors, vectors.where("vec_id % 20 = 0"), top=20)
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(toxicity.sample(docs, table(spark, sf_dir, "labels"), fold(5) != 0))
@@ -54,6 +59,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Settings(words=4, percent=80))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sentencepiece_offsets.encode_decode(table(spark, sf_dir, "documents"), PIECE_BPE)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.crc32("starts").alias("starts_crc32"), F.crc32("ends").alias("ends_crc32"))
@@ -73,9 +82,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_attribution": op1,
     "op2_arrow_tokens": op2,
+    "op3_nn_descent": op3,
     "op4_toxicity": op4,
     "op5_language_id": op5,
     "op6_shuffle_shards": op6,
+    "op7_near_dedup": op7,
     "op8_sentencepiece_offsets": op8,
     "op9_quality_ledger": op9,
     "op10_cost_balanced_packing": op10,

@@ -58,21 +58,26 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), (many / len(buckets)).astype(np.float32)
 
 
-def train(rows: list[tuple[str, int]], width: int = 4, epochs: int = 3, rate: float = 0.5, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, float]:
-    """The number of each bucket and the bias: the logit of class 1 over class 0 is their mean times SCALE plus the bias."""
+def train(rows: list[tuple[str, int]], width: int = 4, updates: int = 1000, rate: float = 0.5, batch: int = 32, seed: int = 7, start: float = 0.02, damp: float = 1e-5) -> tuple[np.ndarray, float]:
+    """The number of each bucket and the bias: the logit of class 1 over class 0 is their mean times SCALE plus the bias.
+
+    ``updates`` steps of Adagrad over batches of ``batch`` rows, as many passes as that takes.
+    """
     rng = np.random.default_rng(seed)
     if len({y for _, y in rows}) < 2:  # nothing to tell apart
         return np.zeros(BUCKETS, np.float32), 30.0 if rows and rows[0][1] else -30.0
     rows = sorted(rows, key=lambda r: (r[0], r[1]))
     bags = [bag(t) for t, _ in rows]
     y = np.array([c for _, c in rows])
-    table = rng.uniform(-1, 1, (BUCKETS, width)) / width
+    table = rng.uniform(-1, 1, (BUCKETS, width)) * start
     layer, bias = rng.normal(0, 0.5, (width, 2)), np.zeros(2)
-    seen_table, seen_layer, seen_bias = np.full((BUCKETS, 1), 1e-6), np.full_like(layer, 1e-6), np.full(2, 1e-6)
-    for epoch in range(epochs):
+    seen_table, seen_layer, seen_bias = np.full((BUCKETS, 1), damp), np.full_like(layer, 1e-6), np.full(2, 1e-6)
+    done = 0
+    while done < updates:
         order = rng.permutation(len(bags))
-        step = rate * (1 - epoch / epochs)
         for k in range(0, len(order), batch):
+            step = rate * max(1 - done / updates, 0.01)
+            done += 1
             part = order[k : k + batch]
             n = [len(bags[i][0]) for i in part]
             col = np.concatenate([bags[i][0] for i in part])
