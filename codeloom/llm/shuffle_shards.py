@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import shared_dir, written
 
-#: Bytes of text that a bucket should hold; arrays and sorting take a few times this in a task.
-BUCKET_BYTES = 4 << 20
+#: Bytes of text that a bucket should hold, as one array; and of the buckets that a task gets together.
+BUCKET_BYTES, TASK_BYTES = 1 << 20, 16 << 20
+#: Buckets whose places are summed up in one task.
+_BLOCK = 4096
 
 
 def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 1, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -38,11 +40,13 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 1, bucket_bytes: i
     bucket = F.pmod(key, F.lit(buckets).cast("long")).alias("bucket")
 
     # where each bucket begins in the permutation: one row per bucket
-    counts = docs.select(bucket).groupBy("bucket").agg(F.count("*").alias("n"))
-    begins = counts.select(F.col("bucket").alias("at"), (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("begin"))
+    counts = docs.select(bucket).groupBy("bucket").agg(F.count("*").alias("n")).withColumn("block", F.expr(f"bucket div {_BLOCK}"))
+    blocks = counts.groupBy("block").agg(F.sum("n").alias("m")).select("block", (F.sum("m").over(Window.orderBy("block")) - F.col("m")).alias("base"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("bucket")) - F.col("n")
+    begins = counts.withColumn("inside", inside).join(blocks, "block").select(F.col("bucket").alias("at"), (F.col("base") + F.col("inside")).alias("begin"))
 
     record = F.struct(F.xxhash64(key, F.lit(seed)).alias("k"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("r")).alias("x")
-    scattered = docs.select(bucket, record).repartition(buckets, "bucket")
+    scattered = docs.select(bucket, record).repartition(max(1, total // TASK_BYTES), "bucket")
     held = scattered.groupBy("bucket").agg(F.collect_list("x").alias("x")).join(begins, F.col("bucket") == F.col("at"))
     in_order = F.array_sort("x", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))
     # the generator of shuffle() goes by partition; buckets in order make its draws repeatable
@@ -53,5 +57,5 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 1, bucket_bytes: i
     shard = F.when(F.col("p") < edge, F.expr(f"p div {small + 1}")).otherwise(more + F.expr(f"(p - {edge}) div {max(small, 1)}"))
     slot = F.when(F.col("p") < edge, F.col("p") % (small + 1)).otherwise((F.col("p") - edge) % max(small, 1))
     out = placed.select(*[F.col("r")[c].alias(c) for c in names], slot.cast("long").alias("slot"), shard.cast("int").alias("shard")).sortWithinPartitions("shard", "slot")
-    out.write.mode("overwrite").partitionBy("shard").parquet(folder)
+    out.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(folder)
     return spark.read.schema(out.schema).parquet(folder)
