@@ -52,14 +52,24 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 10_000]), pa.array(b[k : k + 10_000])], ["a", "b"])
 
 
-def components(links: DataFrame, folder: str) -> DataFrame:
-    """(id, component): the smallest id that each id of the links a, b reaches; ids without a link have no row.
+#: Links that one task folds by union-find without help; more go through rounds of contraction.
+ONE_TASK = 1 << 18
 
-    Each round folds every partition by union-find, then moves every id to the smallest
-    label beside it.  Labels are the ids times an odd constant, an order in which runs of
+
+def components(links: DataFrame, folder: str, one_task: int = ONE_TASK) -> DataFrame:
+    """(id, component): the smallest id that each id of the links a, b reaches; ids without a link have no row, and smallest ids may have none.
+
+    ``links`` is read several times and should be a written table.  Up to ``one_task``
+    links are folded by union-find in one task.  Beyond that each round folds every
+    partition by union-find, then moves every id to the smallest label beside it.  Labels are the ids times an odd constant, an order in which runs of
     falling labels are short, so that chains shrink by a constant factor a round too.
     """
 
+    schema = "a long, b long"
+    links = links.where("a is not null and b is not null and a <> b").select("a", "b")
+    if links.count() <= one_task:
+        return written(links.coalesce(1).mapInArrow(_contract, schema).withColumnsRenamed({"a": "id", "b": "component"}), f"{folder}/components")
+
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_scaled(batch.column(k).to_numpy(), _ODD)) for k in (0, 1)], ["a", "b"])
@@ -68,8 +78,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_scaled(batch.column(k).to_numpy(), _BACK)) for k in (0, 1)], ["id", "c"])
 
-    schema = "a long, b long"
-    edges = written(links.where("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(scale, schema).distinct(), f"{folder}/links")
+    edges = written(links.mapInArrow(scale, schema).distinct(), f"{folder}/links")
     labels = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().select("v", F.col("v").alias("c"))
     k = 0
     while not edges.isEmpty():

@@ -168,50 +168,68 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(left: dict, right: dict, band: int, s: Settings, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """Pairs of a block in different components that may be links: for each row and other component the best ``most``; and whether there are more."""
-    out, cut = [], False
+def _across(left: dict, right: dict, band: int, s: Settings) -> list[tuple[int, int]]:
+    """Links of a block between different components, as few as join all that its links join.
+
+    A pair is looked at in the first band it shares; signatures and sizes rule most out,
+    the others are compared on their full sets, unless links found before join them.
+    """
+    names, back = np.unique(np.concatenate([left["c"], right["c"]]), return_inverse=True)
+    home = np.arange(len(names))
+    lc, rc = back[: len(left["c"])], back[len(left["c"]) :]
+    out = []
+    rights = [np.frombuffer(x, np.uint32) for x in right["shingles"]]
     for k in range(0, len(left["id"]), 16):
         same = left["sig"][k : k + 16, None, :] == right["sig"][None, :, :]
-        good = (same.mean(2) >= s.percent / 100 - s.slack) & (left["c"][k : k + 16, None] != right["c"][None, :])
+        good = (same.mean(2) >= s.percent / 100 - s.slack) & (lc[k : k + 16, None] != rc[None, :])
         good &= ~(right["minor"][None, :] & (left["id"][k : k + 16, None] > right["id"][None, :]))  # two of the left side meet twice
-        small = np.minimum(left["n"][k : k + 16, None], right["n"][None, :])
-        good &= small * 100 >= np.maximum(left["n"][k : k + 16, None], right["n"][None, :]) * s.percent
-        for x, y in zip(*np.nonzero(good), strict=True):
-            first = same[x, y].reshape(s.bands, s.band_rows).all(1).argmax()
-            good[x, y] = first == band  # elsewhere the pair is found in an earlier band
+        small, large = np.minimum(left["n"][k : k + 16, None], right["n"][None, :]), np.maximum(left["n"][k : k + 16, None], right["n"][None, :])
+        good &= small * 100 >= large * s.percent
+        x, y = np.nonzero(good)
+        good[x, y] = same[x, y].reshape(len(x), s.bands, s.band_rows).all(2).argmax(1) == band
         for x in np.flatnonzero(good.any(1)):
-            ys = np.flatnonzero(good[x])
-            ys = ys[np.lexsort((right["id"][ys], -same[x, ys].sum(1)))]
-            seen: dict[int, int] = {}
-            for y in ys.tolist():
-                c = int(right["c"][y])
-                seen[c] = seen.get(c, 0) + 1
-                if seen[c] <= most:
-                    out.append((int(left["id"][k + x]), int(right["id"][y])))
-                else:
-                    cut = True
-    return out, cut
-
-
-def _rest(members: DataFrame, nodes: DataFrame, found: DataFrame, s: Settings, most: int) -> DataFrame:
-    """Pairs (a, b, cut) across the components of buckets of three and more that hold several.
-
-    ``members`` has key, band, id.  Those outside the component of the bucket's smallest
-    member (the minor ones) form blocks against blocks of all members.
+            own = np.frombuffer(left["shingles"][k + x], np.uint32)
+            ys = np.flatnonzero(good[x] & (home[lc[k + x]] != home[rc]))
+            for part in np.array_split(ys, -(-len(ys) // 256) or 1):
+                part = part[home[lc[k + x]] != home[rc[part]]]
+                if not len(part):
+                    continue
+                n = right["n"][part]
+                flat = np.concatenate([rights[j] for j in part])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                common = np.add.reduceat(hit, np.cumsum(n) - n)
+                for j in part[100 * common >= s.percent * (len(own) + n - common)]:
+                    if home[lc[k + x]] != home[rc[j]]:
+                        out.append((int(left["id"][k + x]), int(right["id"][j])))
+                        home[home == home[rc[j]]] = home[lc[k + x]]
+    return out
+
+
+def _rest(members: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) across the components of buckets of three and more that hold several.
+
+    ``members`` has key, band, id, hub and many (members of the bucket).  Those outside the component of the bucket's smallest
+    member (the minor ones) form blocks against blocks of all members.  Sets travel as the
+    upper halves of their hashes; what is found is confirmed on the whole ones after.
     """
-    m = members.join(found.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    of_key = m.groupBy("key").agg(F.count("*").alias("many"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("id").alias("hub")).where("many > 2 and c0 < c1")
-    # a row per member; what the hub is in tells minor from major
-    hub = of_key.join(m.select(F.col("key").alias("k2"), F.col("id").alias("i2"), F.col("c").alias("hc")), (F.col("key") == F.col("k2")) & (F.col("hub") == F.col("i2"))).select("key", "many", "hc")
-    r = m.join(hub, "key").withColumn("minor", F.col("c") != F.col("hc"))
+    c = found.select("id", F.col("component").alias("c"))
+    r = members.where("many > 2").join(c, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    r = r.join(c.select(F.col("id").alias("hub"), F.col("c").alias("hc")), "hub", "left").withColumn("minor", F.col("c") != F.coalesce("hc", "hub"))
     minors = r.where("minor").groupBy("key").agg(F.ceil(F.count("*") / s.block).cast("int").alias("mb"))
     r = r.join(minors, "key").withColumn("ab", F.ceil(F.col("many") / s.block).cast("int"))
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = r.where("minor").select("key", "band", "id", "c", "minor", F.lit(True).alias("left"), block("mb").alias("i"), F.explode(span("ab")).alias("j"))
     theirs = r.select("key", "band", "id", "c", "minor", F.lit(False).alias("left"), F.explode(span("mb")).alias("i"), block("ab").alias("j"))
-    rows = mine.union(theirs).join(nodes.select("id", "n", "sig"), "id").select("key", "i", "j", "left", "id", "c", "minor", "n", "band", "sig")
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half = [(np.frombuffer(x.as_buffer(), _U) >> _U(32)).astype(np.uint32).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(half, pa.binary()), batch.column(3)], ["id", "n", "shingles", "sig"])
+
+    asked = r.select("id").distinct()
+    full = nodes.join(asked, "id", "left_semi").join(sets, "id").select("id", "n", "shingles", "sig").mapInArrow(halve, "id long, n long, shingles binary, sig binary")
+    rows = mine.union(theirs).join(full, "id").select("key", "i", "j", "left", "id", "c", "minor", "n", "band", "sig", "shingles")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +239,11 @@ def _rest(members: DataFrame, nodes: DataFrame, found: DataFrame, s: Settings, m
         def solve() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             flag = t["left"].to_numpy(zero_copy_only=False)
-            cols = {k: t[k].to_numpy(zero_copy_only=False) for k in ("id", "c", "minor", "n")} | {"sig": _matrix(t["sig"].chunk(0), s.slots)}
+            cols = {k: t[k].to_numpy(zero_copy_only=False) for k in ("id", "c", "minor", "n", "shingles")} | {"sig": _matrix(t["sig"].chunk(0), s.slots)}
             pick = lambda f: {k: v[f] for k, v in cols.items()}
-            pairs, cut = _across(pick(flag), pick(~flag), t["band"][0].as_py(), s, most)
-            for k in range(0, len(pairs), 10_000):
-                a, b = np.array(pairs[k : k + 10_000]).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), cut))], ["a", "b", "cut"])
+            if pairs := _across(pick(flag), pick(~flag), t["band"][0].as_py(), s):
+                a, b = np.array(pairs, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -242,7 +259,7 @@ def _rest(members: DataFrame, nodes: DataFrame, found: DataFrame, s: Settings, m
         if held:
             yield from solve()
 
-    return rows.mapInArrow(run, "a long, b long, cut boolean")
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -267,29 +284,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     width = 2 * s.band_rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(s.bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))
     banded = nodes.select("id", F.posexplode(keys).alias("band", "key"))
-    hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
-    members = written(banded.join(hubs, "key").select("key", "band", "id", "hub"), f"{folder}/members")
+    hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("many")).where("hub < top").select("key", "hub", "many")
+    members = written(banded.join(hubs, "key").select("key", "band", "id", "hub", "many"), f"{folder}/members")
 
     sets = written(set_table(docs, members.select("id").distinct(), s, id_col, text_col), f"{folder}/sets")
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    tested = written(_estimated(pairs, nodes, s), f"{folder}/pairs0")
-    links = written(_confirmed(tested, sets, s), f"{folder}/links0")
-    found = components(links, f"{folder}/round0")
-    most, k = 4, 1
-    while True:
-        more = written(_rest(members.select("key", "band", "id"), nodes, found, s, most), f"{folder}/rest{k}")
-        cut = not more.where("cut").isEmpty()
-        new = written(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"{folder}/pairs{k}")
-        if new.isEmpty() and not cut:
-            break
-        tested = tested.union(new)
-        fresh = written(_confirmed(new, sets, s), f"{folder}/links{k}")
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            found = components(links, f"{folder}/round{k}")
-        if not cut:
-            break
-        most, k = most * 8, k + 1
+    likely = written(_estimated(pairs, nodes, s), f"{folder}/pairs")
+    links = written(_confirmed(likely, sets, s), f"{folder}/links")
+    found = components(links, f"{folder}/first")
+    more = written(_rest(members, nodes, sets, found, s), f"{folder}/rest")
+    more = written(_confirmed(more, sets, s), f"{folder}/more")
+    if not more.isEmpty():
+        found = components(links.union(more), f"{folder}/second")
     for name in ("nodes", "members", "sets"):
         remove(spark, f"{folder}/{name}")
 

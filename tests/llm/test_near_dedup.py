@@ -76,8 +76,9 @@ def test_components_of_chains_stars_and_cliques(spark, tmp_path):
     rng.shuffle(edges)
     a, b = np.array(edges, np.int64).T
     want = dict(zip(*map(np.ndarray.tolist, union_find(a, b)), strict=True))
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), f"file://{tmp_path}/c").collect()}
-    assert {k: v for k, v in got.items() if k != v} == want
+    for n, one_task in (("c", 1 << 18), ("e", 100)):
+        got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7), f"file://{tmp_path}/{n}", one_task).collect()}
+        assert {k: v for k, v in got.items() if k != v} == want
     assert components(spark.createDataFrame([], "a long, b long"), f"file://{tmp_path}/d").count() == 0
 
 
