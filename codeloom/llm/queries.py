@@ -91,4 +91,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_ledger": op9,
     "op10_cost_balanced_packing": op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE_SQL: dict[str, str] = {
+    "op7_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(t=_LOWER)} AS ws FROM documents),
+  x AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM w),
+  y AS (SELECT doc_id, n, i, a, lead(a, 1) OVER v AS b, lead(a, 2) OVER v AS c, lead(a, 3) OVER v AS d FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+  s AS (SELECT DISTINCT doc_id, concat_ws(' ', a, b, c, d) AS g FROM y WHERE d IS NOT NULL OR (n < 4 AND i = 1)),
+  size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  links AS (SELECT p.a, p.b FROM (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS c FROM s l JOIN s r ON l.g = r.g AND l.doc_id < r.doc_id GROUP BY 1, 2) p
+    JOIN size m ON m.doc_id = p.a JOIN size k ON k.doc_id = p.b WHERE 100 * c >= 80 * (m.n + k.n - c)),
+  both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+  walk AS (SELECT a AS id, a AS o FROM both_ways UNION SELECT w.id, e.b FROM walk w JOIN both_ways e ON e.a = w.o),
+  least_id AS (SELECT id, min(o) AS c FROM walk GROUP BY 1)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN least_id ON least_id.id = d.doc_id""",
+    "op9_quality_ledger": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, {_WORDS.format(t="t")} AS ws FROM t),
+  x AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+  y AS (SELECT doc_id, i, a, lead(a, 1) OVER v AS b, lead(a, 2) OVER v AS c, lead(a, 3) OVER v AS d, lead(a, 4) OVER v AS e FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+  z AS (SELECT doc_id, i, CASE WHEN e IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, a, b, c, d, e) > 1 THEN 1 ELSE 0 END AS f FROM y),
+  u AS (SELECT doc_id, max(f) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS f FROM z),
+  r AS (SELECT doc_id, CAST(sum(f) AS BIGINT) AS rep FROM u GROUP BY 1),
+  l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda q: regexp_matches(q, '[^\\x20\\x09-\\x0D]')) AS ls, len(regexp_extract_all(t, '[#*$%&|<>]')) AS sym FROM t),
+  m AS (SELECT w.doc_id, len(ws) AS n, coalesce(list_sum(list_transform(ws, lambda q: length(q))), 0)::BIGINT AS chars, sym, len(ls) AS lines, len(ls) - len(list_distinct(ls)) AS dup, coalesce(rep, 0) AS rep
+    FROM w JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id),
+  k AS (SELECT *, CASE WHEN n < 10 THEN 1 ELSE 0 END + CASE WHEN rep * 100 > n * 20 THEN 2 ELSE 0 END + CASE WHEN sym * 100 > n * 40 THEN 4 ELSE 0 END
+    + CASE WHEN lines > 3 AND dup * 100 > lines * 50 THEN 8 ELSE 0 END + CASE WHEN chars > n * 40 THEN 16 ELSE 0 END AS failures FROM m)
+SELECT doc_id, n::BIGINT AS n_words, chars AS word_chars, sym::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, rep AS n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures::BIGINT AS failures FROM k""",
+}
