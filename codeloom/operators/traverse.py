@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.fixed import MAX_DEPTH
-from codeloom.session import cut
+from codeloom.session import cut, cut_and_count
 
 
 def clamp_depth(depth: float | None) -> int:
@@ -41,8 +41,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, dire
         new = frontier.join(step, F.col("id") == F.col("from_id")).select("seed", F.col("to_id").alias("id")).distinct()
         if found is not None:
             new = new.join(found.select("seed", "id"), ["seed", "id"], "left_anti")
-        new = cut(new.withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
+        new, n = cut_and_count(new.withColumn("depth", F.lit(depth)))
+        if not n:
             break
         found = new if found is None else found.unionByName(new)
         frontier = new.select("seed", "id")
@@ -62,11 +62,11 @@ def shortest_path(edges: DataFrame, start: str, end: str, max_depth: int | None
     seen = frontier.select("id")
     for _ in range(clamp_depth(max_depth)):
         new = frontier.join(step, F.col("id") == F.col("from_id")).select(F.col("to_id").alias("id"), F.concat("path", F.array("to_id")).alias("path"))
-        new = cut(new.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        new, n = cut_and_count(new.join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
         hit = new.where(F.col("id") == end)
-        if not hit.isEmpty():
+        if n and not hit.isEmpty():
             return hit.select(F.posexplode("path").alias("hop", "id"))
-        if new.isEmpty():
+        if not n:
             break
         frontier, seen = new, seen.union(new.select("id"))
     return spark.createDataFrame([], "hop int, id string")

@@ -36,7 +36,7 @@ def find_dead_code(symbols: DataFrame, calls: DataFrame, kinds: tuple[str, ...]
 
 def impact(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(seed, id, name, depth, hop_bucket, rel_type, role, confidence, reasons, risk): what a change of the seeds reaches."""
-    found = traverse.reach(edges, seeds, max_depth, "up")
+    found = traverse.reach(edges, seeds, max_depth, "up", ("calls",))
     direct = edges.groupBy("src", F.col("dst").alias("seed")).agg(F.min("rel_type").alias("rel_type")).withColumnRenamed("src", "id")
     rows = found.join(direct, ["seed", "id"], "left").withColumn("rel_type", F.coalesce("rel_type", F.lit("calls")))
     rows = rows.join(symbols.select("id", "name", "kind", "visibility"), "id").join(relate.degrees(symbols, edges), "id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "codeloom", **conf: str) -> SparkSession:
@@ -29,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_and_count(df: DataFrame, of: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and how many rows (where ``of`` holds) were written, counted as they are written."""
+    seen = Observation()
+    n = F.count(F.lit(1)) if of is None else F.count_if(of)
+    return cut(df.observe(seen, n.alias("n"))), seen.get["n"]
