@@ -24,6 +24,8 @@ BUCKETS = 1 << 18
 SHORTEST, LONGEST = 3, 5
 #: The mean is scaled by this before the softmax layer; a text has a hundredth or so of telling words.
 SCALE = 50.0
+#: Empty subwords that every mean holds besides its own, so that a few words alone weigh less.
+BLANKS = 100
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,21 +46,21 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) & np.uint64(BUCKETS - 1)).astype(np.int64)[order], np.bincount(w, minlength=len(words))
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares of its subwords."""
+def bag(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct buckets of a text, how often each comes (65,535 at most), and the number of its subwords."""
     data = LOWER[np.frombuffer(text.encode(), np.uint8)]
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.uint16), 0
     starts, ends = runs(LETTERS[data], np.array([0, len(data)]))
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.uint16), 0
     raw = data.tobytes()
     buckets, _ = subwords([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
     found, many = np.unique(buckets, return_counts=True)
-    return found.astype(np.int32), (many / len(buckets)).astype(np.float32)
+    return found.astype(np.int32), np.minimum(many, 65_535).astype(np.uint16), len(buckets)
 
 
-def train(rows: list[tuple[str, int]], width: int = 4, updates: int = 1000, rate: float = 0.5, batch: int = 32, seed: int = 7, start: float = 0.02, damp: float = 1e-5) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[str, int]], width: int = 4, updates: int = 1300, rate: float = 0.3, batch: int = 32, seed: int = 7, start: float = 0.02, damp: float = 1e-5) -> tuple[np.ndarray, float]:
     """The number of each bucket and the bias: the logit of class 1 over class 0 is their mean times SCALE plus the bias.
 
     ``updates`` steps of Adagrad over batches of ``batch`` rows, as many passes as that takes.
@@ -81,7 +83,7 @@ def train(rows: list[tuple[str, int]], width: int = 4, updates: int = 1000, rate
             part = order[k : k + batch]
             n = [len(bags[i][0]) for i in part]
             col = np.concatenate([bags[i][0] for i in part])
-            share = SCALE * np.concatenate([bags[i][1] for i in part])
+            share = np.concatenate([bags[i][1] * (SCALE / (bags[i][2] + BLANKS)) for i in part])
             row = np.repeat(np.arange(len(part)), n)
             found, back = np.unique(col, return_inverse=True)
             e = table[found]
@@ -101,7 +103,7 @@ def train(rows: list[tuple[str, int]], width: int = 4, updates: int = 1000, rate
     return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 14_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
     """At most ``rows`` (text, label) rows: those of the labels under ``learn`` whose ids have the smallest hashes.
 
     Labels other than 0 and 1 and labels without a document are left out.
@@ -141,7 +143,7 @@ def score(docs: DataFrame, numbers: np.ndarray, bias: float, id_col: str = "doc_
             found = [np.zeros(0)]
             for _, _, data, offsets in text_steps(batch.column(batch.num_columns - 1)):
                 total = table().sums(data, offsets)
-                logit = SCALE * total[:, 0] / np.maximum(total[:, 1], 1) + bias
+                logit = SCALE * total[:, 0] / (total[:, 1] + BLANKS) + bias
                 found.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found))], [*batch.schema.names[:-1], "score"])
 
