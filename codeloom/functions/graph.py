@@ -151,8 +151,8 @@ def verdict_confidence(verdict_: Column) -> Column:
 
 
 def tokens(name: Column, signature: Column, path: Column, lines: Column) -> Column:
-    """Estimated tokens of a symbol: a quarter of its characters, 40 a line."""
-    size = F.length(F.coalesce(name, F.lit(""))) + F.length(F.coalesce(signature, F.lit(""))) + F.length(F.coalesce(path, F.lit(""))) + 40 * lines
+    """Estimated tokens of a symbol: a quarter of its characters, 40 for each of its lines, at least one."""
+    size = F.length(F.coalesce(name, F.lit(""))) + F.length(F.coalesce(signature, F.lit(""))) + F.length(F.coalesce(path, F.lit(""))) + 40 * F.greatest(lines, F.lit(1))
     return F.ceil(size / 4).cast("long")
 
 

@@ -148,3 +148,29 @@ def safe_regex(name: str) -> str:
     """A pattern for the name as a whole word."""
     special = set(r".*+?^${}()|[]\\")
     return r"\b" + "".join("\\" + c if c in special else c for c in name) + r"\b"
+
+
+def searched_pattern(tool: str, arguments: dict) -> str | None:
+    """What a search tool's call looks for: the pattern of grep and glob calls, and of grep-like commands in a shell line.
+
+    A glob gives the words of its last part; patterns of fewer than three letters give none.
+    """
+    import re
+    import shlex
+
+    found: str | None = None
+    if tool in ("grep", "glob"):
+        found = arguments.get("pattern")
+        if tool == "glob" and found:
+            found = re.sub(r"[*?\[\]{}]|\.\w+$", " ", found.rsplit("/", 1)[-1]).strip()
+    elif tool == "bash":
+        try:
+            words = shlex.split(arguments.get("command", ""))
+        except ValueError:
+            words = arguments.get("command", "").split()
+        for i, w in enumerate(words):
+            if w.rsplit("/", 1)[-1] in ("grep", "rg", "ag", "ack", "git-grep"):
+                found = next((x for x in words[i + 1 :] if not x.startswith("-")), None)
+                break
+    found = re.sub(r"\\[bBwWsSdD]|[\\^$().*+?|\[\]{}]", " ", found or "").strip()
+    return found if len(re.findall(r"[A-Za-z]", found)) >= 3 else None

@@ -213,7 +213,7 @@ def shape_drift(spark, sf_dir):
     return relate.contract_drift(routes, reads).select("consumer", "path", F.array_join("missing", ",").alias("missing"))
 
 
-@query("verify_usage", fx.SYMBOLS_SQL, fx.CALLS_SQL, "u AS (SELECT s.id, count(c.src) AS callers, s.visibility = 'public' OR s.kind = 'export' AS exported FROM symbols s LEFT JOIN calls c ON c.dst = s.id GROUP BY s.id, s.visibility, s.kind)", "SELECT id, callers, CASE WHEN callers > 0 THEN 'present' WHEN exported THEN 'uncertain' ELSE 'absent' END AS verdict, CASE WHEN callers > 0 THEN 0.95 WHEN exported THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence FROM u")
+@query("verify_usage", fx.SYMBOLS_SQL, fx.CALLS_SQL, f"u AS (SELECT s.id, count(c.src) AS callers, bool_or(s.visibility = 'public' OR s.kind = 'export' OR {_ENTRY}) AS outside FROM symbols s LEFT JOIN calls c ON c.dst = s.id GROUP BY s.id)", "SELECT id, callers, CASE WHEN callers > 0 THEN 'present' WHEN outside THEN 'uncertain' ELSE 'absent' END AS verdict, CASE WHEN callers > 0 THEN 0.95 WHEN outside THEN 0.5 ELSE 0.8 END::DOUBLE AS confidence, CASE WHEN callers > 0 THEN 'refuted' WHEN outside THEN 'uncertain' ELSE 'confirmed' END AS dead_claim FROM u")
 def verify_usage(spark, sf_dir):
     from codeloom.plans.tools import verify_usage as verify
 

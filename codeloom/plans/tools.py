@@ -109,12 +109,17 @@ def detect_changes(symbols: DataFrame, calls: DataFrame, hunks: DataFrame, granu
 
 
 def verify_usage(symbols: DataFrame, calls: DataFrame, dynamic: F.Column | None = None) -> DataFrame:
-    """(id, callers, verdict, confidence): is each symbol used? Exported ones may be, from outside."""
+    """(id, callers, verdict, confidence, dead_claim): is each symbol used?
+
+    Exported symbols and those whose names start flows may be used from outside.
+    ``dead_claim`` is what becomes of the claim that it is dead.
+    """
     n = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
     rows = symbols.join(n, "id", "left").na.fill(0, ["callers"])
-    unsure = graph.is_exported(F.col("visibility"), F.col("kind")) if dynamic is None else dynamic
+    unsure = graph.is_exported(F.col("visibility"), F.col("kind")) | graph.is_entry_name(F.col("name")) if dynamic is None else dynamic
     v = graph.verdict(F.col("callers") > 0, unsure)
-    return rows.select("id", "callers", v.alias("verdict"), graph.verdict_confidence(v).cast("double").alias("confidence"))
+    claim = F.when(v == "present", "refuted").when(v == "absent", "confirmed").otherwise("uncertain")
+    return rows.select("id", "callers", v.alias("verdict"), graph.verdict_confidence(v).cast("double").alias("confidence"), claim.alias("dead_claim"))
 
 
 def verify_edges(claims: DataFrame, edges: DataFrame) -> DataFrame:

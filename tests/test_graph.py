@@ -184,3 +184,20 @@ def test_named_bindings_come_before_imports(spark):
     bindings = spark.createDataFrame([("c/c.ts", "go", "3")], "file_path string, name string, id string")
     got = {r.ref_id: (r.id, r.tier) for r in relate.resolve_names(refs, s, imports, bindings).collect()}
     assert got == {1: ("3", "named"), 2: ("1", "same-file"), 3: ("2", "package"), 4: (None, None)}
+
+
+def test_time_limits_and_phases(spark):
+    from codeloom.plans.runtime import Phases, within
+
+    assert within(spark, 60, lambda: spark.range(5).count()) == 5
+    with pytest.raises(ZeroDivisionError):
+        within(spark, 60, lambda: 1 // 0)
+    slow = spark.range(4, numPartitions=4).mapInPandas(lambda it: (__import__("time").sleep(20) or x for x in it), "id long")
+    with pytest.raises(TimeoutError):
+        within(spark, 1, slow.count)
+    with pytest.raises(ValueError):
+        within(spark, 1, lambda: 1, "nope")
+    p = Phases()
+    with p.phase("parse") as note:
+        note["rows"] = 3
+    assert p.total_rows() == 3 and p.table(spark).first().phase == "parse"

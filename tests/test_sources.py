@@ -160,3 +160,10 @@ def test_watch_stream_equals_batch(spark, tmp_path):
     assert seen == [["a.ts", "b.ts", "c.ts"]]
     batch = spark.read.schema("root string, path string, ts timestamp").json(str(src))
     assert sorted((r.n, r.paths) for r in watch.debounce(batch).collect()) == [(2, ["c.ts", "x/dist/d.ts"]), (3, ["a.ts", "b.ts"])]
+
+
+def test_searched_patterns():
+    f = text.searched_pattern
+    assert f("grep", {"pattern": r"\bsaveOrder\("}) == "saveOrder" and f("glob", {"pattern": "src/**/*order*.ts"}) == "order"
+    assert f("bash", {"command": "cd x && grep -rn 'parse url' src"}) == "parse url"
+    assert f("bash", {"command": "ls"}) is None and f("grep", {"pattern": "a"}) is None
