@@ -76,11 +76,16 @@ def layer(name: Column, path: Column, signature: Column, framework_hint: Column
     text = F.lower(F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(path, F.lit("")), F.coalesce(signature, F.lit(""))))
     kind = framework(path) if framework_hint is None else F.coalesce(F.lower(framework_hint), framework(path))
     kind = F.when(kind.isin(*fixed.LAYER_PATTERNS), kind).otherwise("generic")
-    out = F.when(F.lit(False), F.lit(None))
-    for own, patterns in fixed.LAYER_PATTERNS.items():
-        for where, pattern in zip(fixed.LAYERS, patterns, strict=True):
-            out = out.when((kind == own) & text.rlike(pattern), where)
-    return out.otherwise("unknown")
+
+    def first(x: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None))
+        for own, patterns in fixed.LAYER_PATTERNS.items():
+            for where, pattern in zip(fixed.LAYERS, patterns, strict=True):
+                out = out.when((x["kind"] == own) & x["text"].rlike(pattern), where)
+        return out.otherwise("unknown")
+
+    # framework and text are worked out once, not in each of the branches
+    return F.transform(F.array(F.struct(kind.alias("kind"), text.alias("text"))), first)[0]
 
 
 def layer_rank(name: Column) -> Column:

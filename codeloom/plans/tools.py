@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import fixed, graph, text
 from codeloom.operators import relate, search, traverse
+from codeloom.session import cut
 
 
 def find_hotspots(symbols: DataFrame, least: int = 10, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -69,7 +70,8 @@ def data_flow_trace(symbols: DataFrame, calls: DataFrame, seeds: DataFrame, hint
     """(step, id, layer, next_id, synthetic): what the seeds reach, by layer from api to model; links between steps are made up."""
     ids = traverse.reach(calls, seeds).select("id").union(seeds.select("id")).distinct()
     layer = graph.layer(F.col("name"), F.col("file_path"), F.col("signature"), F.lit(hint) if hint else None)
-    rows = symbols.join(ids, "id", "left_semi").select("id", layer.alias("layer")).where("layer <> 'unknown'").withColumn("r", graph.layer_rank(F.col("layer")))
+    layered = cut(symbols.join(ids, "id", "left_semi").select("id", layer.alias("layer")))  # the patterns are tried once, not for each use
+    rows = layered.where("layer <> 'unknown'").withColumn("r", graph.layer_rank(F.col("layer")))
     w = Window.orderBy("r", "id")  # one trace: what one seed set reaches, for one reader
     return rows.select((F.row_number().over(w) - 1).cast("int").alias("step"), "id", "layer", F.lead("id").over(w).alias("next_id"), F.lit(True).alias("synthetic"))
 
