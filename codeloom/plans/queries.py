@@ -123,10 +123,15 @@ _IMPACT = "impact AS (SELECT r.seed, r.id, s.name, r.depth, i, o, s.visibility =
     "CASE WHEN max(CASE WHEN regexp_matches(name, '(?i)auth|payment|checkout|security|session|token') THEN 1 ELSE 0 END) OVER (PARTITION BY seed) = 1 THEN 'critical' WHEN count(*) OVER (PARTITION BY seed) >= 11 THEN 'high' WHEN count(*) OVER (PARTITION BY seed) >= 3 THEN 'medium' ELSE 'low' END AS risk FROM impact",
 )
 def impact_analysis(spark, sf_dir):
+    return impact_rows(spark, sf_dir, fx.symbols(spark, sf_dir).where("seq % 100 = 5"))
+
+
+def impact_rows(spark, sf_dir, seeds=None):
+    """What a change of the seeds reaches; of every symbol if none are given."""
     from codeloom.plans.tools import impact
 
     s = fx.symbols(spark, sf_dir)
-    return impact(s, fx.calls(spark, sf_dir), s.where("seq % 100 = 5")).select("seed", "id", "depth", "role", F.round("confidence", 6).alias("confidence"), "risk")
+    return impact(s, fx.calls(spark, sf_dir), s if seeds is None else seeds).select("seed", "id", "depth", "role", F.round("confidence", 6).alias("confidence"), "risk")
 
 
 @query("impact_external_dependency", "SELECT 'ext:' || s_suppkey AS id, s_name AS name FROM supplier WHERE contains(lower(s_name), 'supplier000000007') OR contains(lower(replace(s_name, '#', '')), 'supplier000000007') ORDER BY length(s_name), 1 LIMIT 1")

@@ -29,3 +29,22 @@ def test_flagship(spark):
 
     df = e.entry(spark)
     assert df.columns == ["seed", "id", "depth", "role", "confidence", "risk"] and df.count() >= 0
+
+
+def test_flagship_has_every_symbol_that_is_called(spark):
+    import __spark_entry__ as e
+    from codeloom.plans import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    callers = {}
+    for r in fx.calls(spark, sf).collect():
+        callers.setdefault(r.dst, set()).add(r.src)
+    want = {}
+    for r in fx.symbols(spark, sf).collect():
+        depth, level, seen = 0, callers.get(r.id, set()), {}
+        while level and depth < 20:
+            depth += 1
+            seen |= dict.fromkeys(level, depth)
+            level = {x for i in level for x in callers.get(i, ())} - set(seen)
+        want |= {(r.id, i): d for i, d in seen.items()}
+    assert want and {(r.seed, r.id): r.depth for r in e.entry(spark).collect()} == want
