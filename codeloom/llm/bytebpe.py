@@ -4,13 +4,15 @@ A byte-level BPE splits a text into pre-tokens and encodes each by itself.  The
 library encodes every *distinct* pre-token once; numpy finds the pre-tokens of a
 block of documents and puts their ids together.  The classes of characters come
 from the library's own pre-tokenizer, one probe for each distinct character.
-Strings of special tokens in a text count as ordinary text.
+As in the library, strings of added tokens are found first: each is its token, and
+what is between them is encoded by itself.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,6 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         kind = json.loads(self.library.to_str())
         pre = kind["pre_tokenizer"] or {}
         if kind["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
@@ -46,7 +47,12 @@ class ByteBpe:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         symbols = byte_of_symbol()
         self.token_bytes = np.zeros(self.size, np.int64)
-        special = {x.content for x in self.library.get_added_tokens_decoder().values()}
+        added = self.library.get_added_tokens_decoder().values()
+        if any(x.lstrip or x.rstrip or x.single_word for x in added) or len({x.normalized for x in added}) > 1:
+            raise ValueError(f"{path}: only added tokens that stand for their own strings anywhere are taken")
+        special = {x.content for x in added}
+        # of several at one place the longest is taken
+        self.added = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         for token, i in self.library.get_vocab().items():
             self.token_bytes[i] = len(token.encode()) if token in special else sum(c in symbols for c in token)
         self.classes = np.full(0x110000, _UNKNOWN, np.uint8)
@@ -98,6 +104,18 @@ class ByteBpe:
             start[after] = True
         return np.flatnonzero(start)
 
+    def added_tokens(self, text: str, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the added tokens in the documents that start at ``first``."""
+        found = []
+        m = self.added.search(text) if self.added else None
+        while m:
+            s, e = m.span()
+            whole = not first[s + 1 : e].any()  # else it is put together from the ends of documents
+            if whole:
+                found.append((s, e))
+            m = self.added.search(text, e if whole else s + 1)
+        return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
     def encode_step(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a step joined, and the bounds of each document's ids."""
         if not len(data):
@@ -112,7 +130,12 @@ class ByteBpe:
             bounds = chars[offsets]
         first = np.zeros(len(code) + 1, bool)
         first[bounds] = True
+        special, after = self.added_tokens(text, first)
+        first[special] = first[after] = True
         starts = self.pretokens(code, first[:-1])
+        if len(special):
+            k = np.searchsorted(special, starts, "right") - 1
+            starts = starts[(k < 0) | (starts == special[k]) | (starts >= after[k])]
         ends = np.append(starts[1:], len(code))
         found, where, back = np.unique(PrefixHash(self.codes[code]).of(starts, ends), return_index=True, return_inverse=True)
         slot = self._slots(found, where, starts, ends, text)[back]

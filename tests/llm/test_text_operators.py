@@ -232,3 +232,25 @@ def test_shards_hold_every_row_once_in_equal_numbers(spark, docs, rows, no_docs,
     assert shuffle_shards.shard_rows(no_docs, 4, folder=f"file://{tmp_path}/e").count() == 0
     few = shuffle_shards.shard_rows(docs.limit(3), 16, folder=f"file://{tmp_path}/f").collect()
     assert sorted((x.shard, x.slot) for x in few) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_added_tokens_have_their_own_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from codeloom.llm.bytebpe import ByteBpe
+
+    library, end = Tokenizer.from_file(BYTE_BPE), "<|endoftext|>"
+    texts = [f"a{end}b", end, end * 3, f"  {end}  x", f"it's{end}'s \n {end}\n", f"日本{end}語 {end[:-1]}", "a<|endof", "text|>b", f"<|{end}|>", f"plain  {end}s", "", "no token"]
+    ids, bounds = ByteBpe(BYTE_BPE).encode_step(np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t.encode()) for t in texts])))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids[i:j].tolist() for i, j in zip(bounds[:-1], bounds[1:], strict=True)] == want and want[0] == [64, 50256, 65]
+    rng = np.random.default_rng(5)
+    parts = [end, end[:4], end[4:], " ", "\n", "'s", "'", "ab", "é", "7", "!"]
+    texts = ["".join(rng.choice(parts, 12)) + "." for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: library.encode(t, add_special_tokens=False) for i, t in enumerate(texts)}
+    got = {r.doc_id: r.ids_crc32 for r in arrow_tokens.read_tokens(spark, arrow_tokens.write_tokens(docs, BYTE_BPE, f"file://{tmp_path}/t")).collect()}
+    assert got == {i: crc([*e.ids, 2]) for i, e in want.items()}
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(docs, BYTE_BPE, end_id=1).collect()} == {i: len(e.ids) + 1 for i, e in want.items()}
+    total = {r.doc_id: r.n for r in token_attribution.attribute_tokens(docs, BYTE_BPE, "first").groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert total == {i: len(e.ids) for i, e in want.items()}
