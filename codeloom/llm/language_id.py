@@ -10,6 +10,7 @@ number of uses of every piece.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,8 +24,10 @@ from codeloom.llm.sentencepiece_offsets import fields
 from codeloom.llm.textkernel import LETTERS, LOWER, PrefixHash, WordTable, mix64, runs
 
 UNDETERMINED = "und"
-#: Characters that a forward pass takes at once; longer runs of letters are cut there, none is left out.
-WINDOW = 32
+#: Positions after which the passes rescale their sums, which would vanish in longer words.
+RESCALE = 32
+#: Characters in a block of long words, or one word, whose lattice is held at a time.
+BLOCK = 1 << 18
 _FILTER = 1 << 22
 
 
@@ -35,7 +38,7 @@ class Pieces:
         with open(path, "rb") as f:
             pieces = {dict(fields(v)).get(1, b"").decode() for k, v in fields(f.read()) if k == 1 and dict(fields(v)).get(3, 1) == 1}
         keep = sorted({p.lower() for p in pieces if p.replace("▁", "", 1).isalpha() or p == "▁"})
-        self.longest = min(max(map(len, keep)), WINDOW)
+        self.longest = max(map(len, keep))
         self.codes = mix64(np.arange(0x110000, dtype=np.uint64))
         chars = np.frombuffer("".join(keep).encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(p) for p in keep])
@@ -52,34 +55,46 @@ class Pieces:
         """
         chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
         n = np.array([len(w) for w in words], np.int64)
-        at = np.cumsum(n) - n
         prefix = PrefixHash(self.codes[chars])
         most = int(n[0]) if len(n) else 0
-        steps: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[]]
-        for i in range(1, most + 1):
-            live = int(np.searchsorted(-n, -i, "right"))
-            here = []
-            for k in range(1, min(i, self.longest) + 1):
-                h = prefix.of(at[:live] + i - k, at[:live] + i)
-                w = np.flatnonzero(self.seen[h & np.uint64(_FILTER - 1)])
-                p = np.minimum(np.searchsorted(self.hashes, h[w]), len(self.hashes) - 1)
-                hit = self.hashes[p] == h[w]
-                w, p = w[hit], p[hit]
-                if k == 1:
-                    other = np.full(live, self.size - 1)
-                    other[w] = p
-                    w, p = np.arange(live), other
-                if len(w):
-                    here.append((k, w, p))
-            steps.append(here)
+        word = np.repeat(np.arange(len(n)), n)
+        end = np.arange(1, len(chars) + 1)
+        place = end - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort((word, place))  # by end position, then by word
+        word, end, place = word[order], end[order], place[order]
+        steps: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(most + 1)]
+        for k in range(1, min(most, self.longest) + 1):
+            at = np.flatnonzero(place >= k)
+            h = prefix.of(end[at] - k, end[at])
+            some = self.seen[h & np.uint64(_FILTER - 1)]
+            p = np.full(len(h), self.size - 1)
+            q = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+            p[some] = np.where(self.hashes[q] == h[some], q, self.size - 1)
+            if k > 1:
+                at, p = at[p < self.size - 1], p[p < self.size - 1]
+            w, where = word[at], place[at]
+            new = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else where
+            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(where)], strict=False):
+                steps[where[a]].append((k, w[a:b], p[a:b]))
         return n, steps, most
 
 
-def windows(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Word starts are marked, words cut into windows, windows sorted by length; and the word of each."""
-    cut = [(x[k : k + WINDOW], i) for i, w in enumerate(words) for x in ["▁" + w] for k in range(0, len(x), WINDOW)]
-    cut.sort(key=lambda x: -len(x[0]))
-    return [x for x, _ in cut], np.array([i for _, i in cut], np.int64)
+def blocks(words: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Words with their starts marked, longest first, and their numbers, in blocks.
+
+    Lengths in a block of long words differ by a factor of two at most, so that a table
+    of its words by positions is at most twice its characters.
+    """
+    cut = sorted((("▁" + w, i) for i, w in enumerate(words)), key=lambda x: -len(x[0]))
+    a = 0
+    while a < len(cut):
+        longest = len(cut[a][0])
+        b = len(cut)
+        if longest > RESCALE:
+            b = bisect_left(cut, -max(longest // 2, RESCALE), a, key=lambda x: -len(x[0]))
+            b = min(max(b, a + 1), a + max(1, BLOCK // longest))
+        yield [x for x, _ in cut[a:b]], np.array([i for _, i in cut[a:b]], np.int64)
+        a = b
 
 
 def letters_only(word: bytes) -> str:
@@ -89,42 +104,80 @@ def letters_only(word: bytes) -> str:
 
 def forward(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
     """Log probability of each word by language; ``p`` is pieces by languages."""
-    cut, owner = windows(words)
-    n, steps, most = pieces.lattice(cut)
-    alpha = np.zeros((most + 1, len(cut), p.shape[1]))
+    out = np.zeros((len(words), p.shape[1]))
+    for cut, owner in blocks(words):
+        n, steps, most = pieces.lattice(cut)
+        rows = pieces.longest + 1  # a position's row is taken again when no piece reaches back to it
+        alpha = np.zeros((rows, len(cut), p.shape[1]))
+        alpha[0] = 1
+        scale = np.zeros((len(cut), p.shape[1]))
+        done = len(cut)
+        for i in range(1, most + 1):
+            here = alpha[i % rows]
+            here[:done] = 0
+            for k, w, q in steps[i]:
+                here[w] += alpha[(i - k) % rows, w] * p[q]
+            live = int(np.searchsorted(-n, -i, "left"))  # longer than i
+            out[owner[live:done]] = np.log(here[live:done]) + scale[live:done]
+            done = live
+            if i % RESCALE == 0 and live:
+                by = here[:live].copy()
+                alpha[:, :live] /= by
+                scale[:live] += np.log(by)
+    return out
+
+
+def _uses(pieces: Pieces, cut: list[str], weight: np.ndarray, p: np.ndarray, lattice: tuple) -> np.ndarray:
+    """Expected uses of the pieces by language, in a block of words with the weights.
+
+    Forward sums are rescaled at every ``RESCALE`` positions and backward sums by the same
+    factors, so that their product, over the word's whole sum, is what it is without.
+    """
+    n, steps, most = lattice
+    size, langs = p.shape
+    alpha, beta = np.zeros((most + 1, len(cut), langs)), np.zeros((most + 1, len(cut), langs))
     alpha[0] = 1
+    factors: dict[int, np.ndarray] = {}
     for i in range(1, most + 1):
         for k, w, q in steps[i]:
-            alpha[i, w] += alpha[i - k, w] * p[q]
-    out = np.zeros((len(words), p.shape[1]))
-    if len(cut):
-        np.add.at(out, owner, np.log(alpha[n, np.arange(len(cut))]))
-    return out
+            # a piece that comes from before a rescaled position takes its factor
+            alpha[i, w] += _across(alpha[i - k, w], factors, i - k, i, w) * p[q]
+        if i % RESCALE == 0 and i < most:
+            live = int(np.searchsorted(-n, -i, "left"))
+            factors[i] = alpha[i, :live].copy()
+            alpha[i, :live] = 1
+    index = np.arange(len(cut))
+    beta[n, index] = 1
+    share = weight / alpha[n, index]
+    used = np.zeros((size, langs))
+    for i in range(most, 0, -1):
+        if i in factors:
+            beta[i, : len(factors[i])] /= factors[i]
+        for k, w, q in steps[i]:
+            flow = _across(beta[i, w], factors, i - k, i, w) * p[q]
+            beta[i - k, w] += flow
+            for c in range(langs):
+                used[:, c] += np.bincount(q, flow[:, c] * alpha[i - k, w, c] * share[w, c], size)
+    return used
+
+
+def _across(x: np.ndarray, factors: dict[int, np.ndarray], a: int, b: int, w: np.ndarray) -> np.ndarray:
+    """``x`` over the factors of the positions strictly between ``a`` and ``b``."""
+    m = (a // RESCALE + 1) * RESCALE
+    while m < b:
+        if m in factors:
+            x = x / factors[m][w]
+        m += RESCALE
+    return x
 
 
 def expectation_maximisation(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = 3, smoothing: float = 0.01) -> np.ndarray:
     """Piece probabilities by language from word counts by language."""
-    cut, owner = windows(words)
-    n, steps, most = pieces.lattice(cut)
-    weight = counts[owner]
     size, langs = pieces.size, counts.shape[1]
     p = np.full((size, langs), 1 / size)
-    index = np.arange(len(cut))
+    held = [(cut, counts[owner], pieces.lattice(cut)) for cut, owner in blocks(words)]
     for _ in range(rounds):
-        alpha, beta = np.zeros((most + 1, len(cut), langs)), np.zeros((most + 1, len(cut), langs))
-        alpha[0] = 1
-        for i in range(1, most + 1):
-            for k, w, q in steps[i]:
-                alpha[i, w] += alpha[i - k, w] * p[q]
-        beta[n, index] = 1
-        share = weight / alpha[n, index]
-        used = np.zeros((size, langs))
-        for i in range(most, 0, -1):
-            for k, w, q in steps[i]:
-                flow = beta[i, w] * p[q]
-                beta[i - k, w] += flow
-                for c in range(langs):
-                    used[:, c] += np.bincount(q, flow[:, c] * alpha[i - k, w, c] * share[w, c], size)
+        used = sum((_uses(pieces, cut, weight, p, lattice) for cut, weight, lattice in held), np.zeros((size, langs)))
         used += smoothing
         p = used / used.sum(0)
     return p

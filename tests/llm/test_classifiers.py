@@ -39,6 +39,56 @@ def test_long_words_are_read_whole():
     assert np.isfinite([a, b]).all() and a < b
 
 
+def _pieces_at(pieces, word):
+    """For each end position of the marked word (piece length, piece)."""
+    from codeloom.llm.textkernel import PrefixHash
+
+    x = "▁" + word
+    table = dict(zip(pieces.hashes.tolist(), range(len(pieces.hashes)), strict=True))
+    h = PrefixHash(pieces.codes[np.frombuffer(x.encode("utf-32-le"), np.uint32)])
+    one = lambda i, k: table.get(int(h.of(np.array([i - k]), np.array([i]))[0]), pieces.size - 1 if k == 1 else None)
+    return [[(k, q) for k in range(1, min(i, pieces.longest) + 1) if (q := one(i, k)) is not None] for i in range(len(x) + 1)]
+
+
+def _long_words():
+    words = ["straightforwardrepresentations" * 3, "中文没有空格的句子很长" * 9, "recommendations" * 40, "addeventlistener" * 2, "the", "e" * 31, "e" * 32, "e" * 63, "e" * 64, "ab" * 2000]
+    return words + ["x" * n + "characteristics" * 2 for n in range(9, 25)]
+
+
+def test_long_words_sum_all_segmentations_across_positions_of_rescaling():
+    pieces = language_id.Pieces(PIECE_BPE)
+    p = np.random.default_rng(3).dirichlet(np.ones(pieces.size), 2).T
+    words = _long_words()
+    for word, row in zip(words, language_id.forward(pieces, words, p), strict=True):
+        for lang in range(2):
+            log = [0.0]
+            for here in _pieces_at(pieces, word)[1:]:
+                log.append(np.logaddexp.reduce([log[len(log) - k] + np.log(p[q, lang]) for k, q in here]))
+            assert row[lang] == pytest.approx(log[-1], rel=1e-9)
+
+
+def test_training_counts_pieces_across_positions_of_rescaling():
+    pieces = language_id.Pieces(PIECE_BPE)
+    words = _long_words()
+    counts = np.random.default_rng(4).integers(1, 5, (len(words), 2)).astype(float)
+    p = np.full((pieces.size, 2), 1 / pieces.size)
+    for _ in range(2):
+        used = np.full(p.shape, 0.01)
+        for word, many in zip(words, counts, strict=True):
+            at = _pieces_at(pieces, word)
+            for c in range(2):
+                log, back = [0.0], [-np.inf] * (len(at) - 1) + [0.0]
+                for here in at[1:]:
+                    log.append(np.logaddexp.reduce([log[len(log) - k] + np.log(p[q, c]) for k, q in here]))
+                for i in range(len(at) - 1, 0, -1):
+                    for k, q in at[i]:
+                        flow = back[i] + np.log(p[q, c])
+                        back[i - k] = np.logaddexp(back[i - k], flow)
+                        used[q, c] += many[c] * np.exp(flow + log[i - k] - log[-1])
+        p = used / used.sum(0)
+    assert language_id.expectation_maximisation(pieces, words, counts, rounds=2) == pytest.approx(p, rel=1e-6)
+
+
 def test_language_held_out_accuracy_and_odd_rows(spark, docs, rows, no_docs):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     langs, p = language_id.train(language_id.sample(d, fold(4) != 2), PIECE_BPE)
