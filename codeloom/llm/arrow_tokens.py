@@ -65,8 +65,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
     """Write the files and return their manifest: file_no (ascending by id), path, n_docs, n_tokens, n_rows.
 
     Null texts count as empty; documents with a null id come first, and repeated ids
-    stand side by side.  Other columns are left out.  An empty table writes no file.
-    A file is moved to its name when it is whole, so that a task can run again.
+    stand side by side, in as many files as their rows fill.  Other columns are left out.
+    An empty table writes no file.  Each attempt of a task writes files of its own name,
+    and the manifest names those of the attempt that counts.  A document of any length is
+    encoded in parts; its ids are held at once.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -78,8 +80,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
         context = TaskContext.get()
         no = context.partitionId()
         store, root = open_store(folder)
-        name = f"{root}/tokens/part-{no:06d}"
-        own = f"{name}.{context.taskAttemptId()}"
+        own = f"tokens/part-{no:06d}-{context.taskAttemptId()}"
         kind = pa.from_numpy_dtype(bpe.dtype)
         schema = _schema(width, kind)
         size = width * rows_per_batch
@@ -98,7 +99,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
         for batch in batches:
             for i, j, _, _, found, bounds in bpe.encode_column(batch.column(1)):
                 if out is None:
-                    sink = [store.open_output_stream(f"{own}.{x}") for x in ("ids", "index")]
+                    sink = [store.open_output_stream(f"{root}/{own}.{x}.arrow") for x in ("ids", "index")]
                     out, index = pa.ipc.new_file(sink[0], schema), pa.ipc.new_file(sink[1], _INDEX)
                 ids = np.insert(found, bounds[1:], bpe.dtype.type(end_id))
                 counts = np.diff(bounds) + 1
@@ -118,12 +119,12 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
                 put(fill)
             for x in (out, index, *sink):
                 x.close()
-            for x in ("ids", "index"):
-                store.move(f"{own}.{x}", f"{name}.{x}.arrow")
-            yield pa.RecordBatch.from_pydict({"file_no": [no], "path": [f"{folder}/tokens/part-{no:06d}"], "n_docs": [n_docs], "n_tokens": [n_tokens], "n_rows": [n_rows]})
+            yield pa.RecordBatch.from_pydict({"file_no": [no], "path": [f"{folder}/{own}"], "n_docs": [n_docs], "n_tokens": [n_tokens], "n_rows": [n_rows]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # the place in the table tells rows of one id apart, so that many of them can be split
+    order = [F.col("doc_id").asc_nulls_first(), F.col("place")]
+    rows = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return written(rows.mapInArrow(run, _MANIFEST), f"{folder}/manifest")
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 from codeloom.llm.common import text_steps
-from codeloom.llm.textkernel import PrefixHash, gather, mix64
+from codeloom.llm.textkernel import PART_BYTES, gather, parts, slice_hashes
 
 _LETTER, _DIGIT, _OTHER, _SPACE, _UNKNOWN = range(5)
 _ONE, _TWO = tuple(map(ord, "stmd")), tuple(tuple(map(ord, x)) for x in ("re", "ve", "ll"))
@@ -52,11 +52,11 @@ class ByteBpe:
             raise ValueError(f"{path}: only added tokens that stand for their own strings anywhere are taken")
         special = {x.content for x in added}
         # of several at one place the longest is taken
+        self.cut = not any(c.isspace() for x in special for c in x)  # long texts may be cut before white space
         self.added = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         for token, i in self.library.get_vocab().items():
             self.token_bytes[i] = len(token.encode()) if token in special else sum(c in symbols for c in token)
         self.classes = np.full(0x110000, _UNKNOWN, np.uint8)
-        self.codes = mix64(np.arange(0x110000, dtype=np.uint64))
         self.keep = keep
         self._forget()
 
@@ -99,7 +99,7 @@ class ByteBpe:
                 width[(second == a) & (third == b)] = 3
             at, width = at[width > 0], width[width > 0]
             start[at + 1] = False
-            start[at + 2] &= width != 3
+            start[at[width == 3] + 2] = False
             after = (at + width)[at + width < n]
             start[after] = True
         return np.flatnonzero(start)
@@ -118,8 +118,14 @@ class ByteBpe:
 
     def encode_step(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents of a step joined, and the bounds of each document's ids."""
+        if self.cut and len(offsets) == 2 and len(data) > 2 * PART_BYTES:
+            ids = np.concatenate([self._encode(data[a:b], np.array([0, b - a]))[0] for a, b in parts(data)])
+            return ids, np.array([0, len(ids)])
         if not len(data):
             return np.zeros(0, self.dtype), np.zeros(len(offsets), np.int64)
+        return self._encode(data, offsets)
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text = data.tobytes().decode("utf-8")
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if len(code) == len(data):
@@ -137,7 +143,7 @@ class ByteBpe:
             k = np.searchsorted(special, starts, "right") - 1
             starts = starts[(k < 0) | (starts == special[k]) | (starts >= after[k])]
         ends = np.append(starts[1:], len(code))
-        found, where, back = np.unique(PrefixHash(self.codes[code]).of(starts, ends), return_index=True, return_inverse=True)
+        found, where, back = np.unique(slice_hashes(code, starts, ends), return_index=True, return_inverse=True)
         slot = self._slots(found, where, starts, ends, text)[back]
         lengths = self.lengths[slot]
         ids = gather(self.flat, self.starts[slot], lengths)

@@ -9,7 +9,6 @@ sequences as its tokens need, so that its padding is below one sequence.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +23,13 @@ from codeloom.llm.common import small_batches
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1 / 1024, look: int = 16) -> tuple[np.ndarray, int]:
+def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1 / 1024) -> tuple[np.ndarray, int]:
     """Pieces (document, start, length, sequence, offset), one a row, and the number of sequences.
 
     Documents of ``capacity`` tokens and more are first cut into whole sequences; what is
     left of them and shorter documents go, longest first, to the sequence of the lowest
-    cost with capacity left.  Among the ``look`` cheapest one that takes the whole piece
-    is preferred; if none does, the piece is cut.  Ties go to the smaller index.
+    cost that has room for the whole piece.  Where none has, the piece is cut and fills the
+    sequence of the lowest cost with capacity left.  Ties go to the smaller index.
     """
     lengths = np.asarray(lengths, np.int64)
     whole = lengths // capacity
@@ -42,27 +41,19 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: f
     order = np.argsort(-rest, kind="stable")
     order = order[rest[order] > 0]
     bins = -(-int(rest.sum()) // capacity)
-    heap = [(0.0, b) for b in range(bins)]
-    used, placed = [0] * bins, []
+    free, cost = np.full(bins, capacity, np.int64), np.zeros(bins)
+    placed = []
     for d, left, start in zip(order.tolist(), rest[order].tolist(), (whole * capacity)[order].tolist(), strict=True):
         while left:
-            passed = []
-            while heap and len(passed) < look:
-                cost, b = heapq.heappop(heap)
-                if capacity - used[b] >= left:
-                    break
-                passed.append((cost, b))
-            else:
-                cost, b = passed.pop(0)
-            for x in passed:
-                heapq.heappush(heap, x)
-            n_now = min(left, capacity - used[b])
-            placed.append((d, start, n_now, n + b, used[b]))
-            used[b] += n_now
-            left -= n_now
-            start += n_now
-            if used[b] < capacity:
-                heapq.heappush(heap, (cost + linear * n_now + quadratic * n_now * n_now, b))
+            b = int(np.where(free >= left, cost, np.inf).argmin())
+            if free[b] < left:
+                b = int(np.where(free > 0, cost, np.inf).argmin())
+            now = min(left, int(free[b]))
+            placed.append((d, start, now, n + b, capacity - int(free[b])))
+            free[b] -= now
+            cost[b] += linear * now + quadratic * now * now
+            left -= now
+            start += now
     if placed:
         rows.append(np.array(placed, np.int64))
     return np.concatenate(rows), n + bins
@@ -74,7 +65,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048
     Null and empty texts are documents of the end id alone.  Repeated rows are packed
     each for itself, null ids stay null, other columns are left out.  An empty table
     gives no rows.  ``sequence_id`` is unique, not gapless; a task that is run again
-    gives the same ids.
+    gives the same ids.  A document of any length is encoded in parts; its ids are held
+    at once.
     """
     small_batches(docs.sparkSession)
 

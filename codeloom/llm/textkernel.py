@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _U = np.uint64
@@ -47,7 +49,11 @@ _POWERS = _Powers()
 
 
 class PrefixHash:
-    """64-bit hashes of any slice of a sequence of codes, in constant time each."""
+    """64-bit hashes of any short slice of a sequence of codes, in constant time each.
+
+    Long slices (of a thousand codes and more) can be built that collide in it; whole
+    words and pre-tokens go by ``slice_hashes``.
+    """
 
     def __init__(self, codes: np.ndarray) -> None:
         up, self.down = _POWERS.upto(len(codes) + 1)
@@ -58,6 +64,49 @@ class PrefixHash:
         return mix64((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
 
+def slice_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of disjoint slices: the sum of a number drawn for each (place in the slice, code)."""
+    n = ends - starts
+    before = np.cumsum(n) - n
+    total = int(n.sum())
+    place = np.arange(total)
+    place -= np.repeat(before, n)
+    tiled = total == len(codes)  # the slices are all there is
+    own = codes if tiled else codes[place + np.repeat(starts, n)]
+    sums = np.zeros(total + 1, _U)
+    np.cumsum(mix64(own.astype(_U) + place.astype(_U) * _U(0xD1342543DE82EF95)), out=sums[1:])
+    return mix64(sums[before + n] - sums[before] + n.astype(_U) * _U(0xA0761D6478BD642F))
+
+
+#: Bytes of a document that a kernel takes at a time, where it is longer.
+PART_BYTES = 4 << 20
+_PRINTED = np.zeros(256, bool)
+_PRINTED[33:127] = True
+
+
+def parts(data: np.ndarray, limit: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of parts of about ``limit`` bytes, cut before white space that follows a printed ASCII character.
+
+    No word, run of letters or pre-token goes across such a place.  Where there is none, a
+    part goes on to the next.
+    """
+    a, n = 0, len(data)
+    while n - a > limit:
+        b = a + limit
+        while b < n:
+            end = min(n, b + (1 << 16))
+            found = np.flatnonzero(SPACE[data[b:end]] & _PRINTED[data[b - 1 : end - 1]])
+            if len(found):
+                b += int(found[0])
+                break
+            b = end
+        if b >= n:
+            break
+        yield a, b
+        a = b
+    yield a, n
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True that do not cross a document's end."""
     n = len(inside)
@@ -77,9 +126,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """
     if not len(data):
         return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
+    if len(offsets) == 2 and len(data) > 2 * PART_BYTES:
+        found = np.concatenate([_words(data[a:b], np.array([0, b - a]))[0] for a, b in parts(data)])
+        return found, np.array([0, len(found)])
+    return _words(data, offsets)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     starts, ends = runs(~SPACE[low], offsets)
-    return PrefixHash(BYTE_CODE[low]).of(starts, ends), np.searchsorted(starts, offsets)
+    return slice_hashes(low, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +149,11 @@ def shingle_sets(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndar
     if not len(doc):
         return np.zeros(0, _U), np.zeros(len(bounds), np.int64)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + bounds[:-1][doc]
-    prefix = PrefixHash(words)
     width = np.minimum(n, k)[doc]
-    h = mix64(prefix.of(at, at + width) ^ width.astype(_U))
+    h = width.astype(_U)
+    for i in range(k):
+        more = mix64(h * _U(_BASE) ^ words[np.minimum(at + i, len(words) - 1)])
+        h = more if int(width.min()) > i else np.where(width > i, more, h)
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
@@ -152,12 +210,17 @@ class WordTable:
 
     def sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """For each document of a step the sum of its words' rows; words are runs of LETTERS, in lower case (A-Z)."""
+        if len(offsets) == 2 and len(data) > 2 * PART_BYTES:
+            return sum(self._sums(data[a:b], np.array([0, b - a])) for a, b in parts(data))
+        return self._sums(data, offsets)
+
+    def _sums(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros((len(offsets) - 1, self.width))
         if len(data):
             low = LOWER[data]
             starts, ends = runs(LETTERS[low], offsets)
             if len(starts):
-                rows = self.look_up(PrefixHash(BYTE_CODE[low]).of(starts, ends), starts, ends, low)
+                rows = self.look_up(slice_hashes(low, starts, ends), starts, ends, low)
                 doc = np.searchsorted(offsets, starts, "right") - 1
                 for k in range(self.width):
                     out[:, k] = np.bincount(doc, rows[:, k], len(out))

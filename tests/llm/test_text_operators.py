@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 def bpe():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BYTE_BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BYTE_BPE)
 
 
 def crc(ids):
@@ -254,3 +252,73 @@ def test_added_tokens_have_their_own_ids(spark, tmp_path):
     assert {r.doc_id: r.doc_tokens for r in packing.pack(docs, BYTE_BPE, end_id=1).collect()} == {i: len(e.ids) + 1 for i, e in want.items()}
     total = {r.doc_id: r.n for r in token_attribution.attribute_tokens(docs, BYTE_BPE, "first").groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
     assert total == {i: len(e.ids) for i, e in want.items()}
+
+
+def _alone(bpe, text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return bpe.encode_step(data, np.array([0, len(data)]))[0].tolist()
+
+
+def test_documents_alone_are_encoded_as_by_the_library(bpe):
+    from codeloom.llm.bytebpe import ByteBpe
+
+    own, rng = ByteBpe(BYTE_BPE), np.random.default_rng(1)
+    bits = ["'s", "'t", "'d", "'m", "'re", "'ve", "'ll", "'", " ", "  ", "\n", "\t", "ab", "é", "日本", "7", "!", "<|endoftext|>", "<|", "\u00a0", "\u3000", "S", "ſ", "😀", "½", "_"]
+    texts = [f"this is the cat{x}" for x in bits] + ["".join(rng.choice(bits, rng.integers(0, 9))) for _ in range(5000)]
+    for text, e in zip(texts, bpe.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert _alone(own, text) == e.ids, text
+
+
+def test_words_built_to_collide_in_polynomial_hashes_differ(bpe):
+    from codeloom.llm.bytebpe import ByteBpe
+    from codeloom.llm.textkernel import word_hashes
+
+    for n in (1024, 2048, 4096):
+        one = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        text = one + "\n" + one.translate(str.maketrans("ab", "ba"))
+        assert _alone(ByteBpe(BYTE_BPE), text) == bpe.encode(text, add_special_tokens=False).ids
+        a, b = word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0]
+        assert a != b
+
+
+def test_very_long_texts_are_taken_in_parts(bpe, monkeypatch):
+    from codeloom.llm import bytebpe, textkernel
+
+    rng, own = np.random.default_rng(2), bytebpe.ByteBpe(BYTE_BPE)
+    bits = ["'s", " ", "\n", "  ", "ab", "é", "日本", "7", "!", "<|endoftext|>", " word", " the", "\t", "\u00a0"]
+    texts = ["".join(rng.choice(bits, 150)) for _ in range(200)] + ["x" * 500, " " * 500, "日" * 300]
+    whole = [textkernel.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist() for t in texts]
+    cut = textkernel.parts
+    for module in (bytebpe, textkernel):
+        monkeypatch.setattr(module, "PART_BYTES", 64)
+        monkeypatch.setattr(module, "parts", lambda data: cut(data, 64))
+    for text, want in zip(texts, whole, strict=True):
+        assert _alone(own, text) == bpe.encode(text, add_special_tokens=False).ids
+        assert textkernel.word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0].tolist() == want
+
+
+def test_many_rows_of_one_id_fill_several_files(spark, tmp_path):
+    docs = spark.createDataFrame([(7, f"text {i}") for i in range(2000)] + [(None, "x"), (3, "y")], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = arrow_tokens.write_tokens(docs, BYTE_BPE, f"file://{tmp_path}/h")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 2 and manifest.agg(F.max("n_docs")).first()[0] < 1500
+    got = sorted(arrow_tokens.read_tokens(spark, manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 3] + [7] * 2000
+
+
+def test_a_piece_goes_where_it_fits_whole():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        lengths = rng.integers(1, 90, 200)
+        pieces, many = packing.assign(lengths, 100)
+        free, cost = np.full(many, 100), np.zeros(many)
+        for d, start, n, b, at in pieces.tolist():
+            left = lengths[d] - start
+            room = [(cost[k], k) for k in range(many) if free[k] >= left]
+            assert (cost[b], b) == (min(room) if room else min((cost[k], k) for k in range(many) if free[k]))
+            assert at == 100 - free[b] and n == min(left, free[b])
+            free[b] -= n
+            cost[b] += n + n * n / 1024
