@@ -17,10 +17,13 @@ STEP_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests on one machine) a local folder is set.
+    Only where the session names none and runs on one machine, as in tests, a local folder
+    is set; elsewhere that raises, since other machines would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/codeloom-{uuid.uuid4().hex[:12]}"
@@ -68,3 +71,9 @@ def text_steps(col: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, in
         j = min(n, max(j, i + 1))
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+
+
+def beside(df: DataFrame, found: tuple[str, ...]) -> list[str]:
+    """The columns of ``df`` that stay beside new columns of the names ``found``, which replace those of the same name."""
+    new = {x.lower() for x in found}
+    return [c for c in df.columns if c.lower() not in new]

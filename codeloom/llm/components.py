@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import written
+from codeloom.llm.common import remove, written
 
 _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
@@ -89,6 +89,9 @@ def components(links: DataFrame, folder: str, one_task: int = ONE_TASK) -> DataF
         ends = ends.join(move, F.col("b") == F.col("x"), "left").select("a", F.coalesce("to", "b").alias("b"))
         edges = written(ends.where("a <> b").distinct(), f"{folder}/edges{k}")
         labels = labels.join(move, F.col("c") == F.col("x"), "left").select("v", F.coalesce("to", "c").alias("c"))
+        if k:  # the first links and all moves are read once more for the labels
+            remove(links.sparkSession, f"{folder}/edges{k - 1}")
+        remove(links.sparkSession, f"{folder}/star{k}")
         k += 1
     plain = written(labels.mapInArrow(unscale, "id long, c long"), f"{folder}/labels")
     least = plain.groupBy("c").agg(F.min("id").alias("component"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_batches, text_steps
+from codeloom.llm.common import beside, small_batches, text_steps
 from codeloom.llm.sentencepiece_offsets import fields
 from codeloom.llm.textkernel import LETTERS, LOWER, PrefixHash, WordTable, mix64, runs
 
@@ -28,6 +28,8 @@ UNDETERMINED = "und"
 RESCALE = 32
 #: Characters in a block of long words, or one word, whose lattice is held at a time.
 BLOCK = 1 << 18
+#: Languages whose tables are held at a time; short words in a block.
+LANGUAGES, SHORT_WORDS = 8, 1 << 14
 _FILTER = 1 << 22
 
 
@@ -93,6 +95,7 @@ def blocks(words: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
         if longest > RESCALE:
             b = bisect_left(cut, -max(longest // 2, RESCALE), a, key=lambda x: -len(x[0]))
             b = min(max(b, a + 1), a + max(1, BLOCK // longest))
+        b = min(b, a + SHORT_WORDS)
         yield [x for x, _ in cut[a:b]], np.array([i for _, i in cut[a:b]], np.int64)
         a = b
 
@@ -103,7 +106,9 @@ def letters_only(word: bytes) -> str:
 
 
 def forward(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
-    """Log probability of each word by language; ``p`` is pieces by languages."""
+    """Log probability of each word by language; ``p`` is pieces by languages, of which few are taken at a time."""
+    if p.shape[1] > LANGUAGES:
+        return np.column_stack([forward(pieces, words, p[:, k : k + LANGUAGES]) for k in range(0, p.shape[1], LANGUAGES)])
     out = np.zeros((len(words), p.shape[1]))
     for cut, owner in blocks(words):
         n, steps, most = pieces.lattice(cut)
@@ -174,10 +179,11 @@ def _across(x: np.ndarray, factors: dict[int, np.ndarray], a: int, b: int, w: np
 def expectation_maximisation(pieces: Pieces, words: list[str], counts: np.ndarray, rounds: int = 3, smoothing: float = 0.01) -> np.ndarray:
     """Piece probabilities by language from word counts by language."""
     size, langs = pieces.size, counts.shape[1]
+    if langs > LANGUAGES:
+        return np.column_stack([expectation_maximisation(pieces, words, counts[:, k : k + LANGUAGES], rounds, smoothing) for k in range(0, langs, LANGUAGES)])
     p = np.full((size, langs), 1 / size)
-    held = [(cut, counts[owner], pieces.lattice(cut)) for cut, owner in blocks(words)]
-    for _ in range(rounds):
-        used = sum((_uses(pieces, cut, weight, p, lattice) for cut, weight, lattice in held), np.zeros((size, langs)))
+    for _ in range(rounds):  # lattices are made again each time, so that one block's is held
+        used = sum((_uses(pieces, cut, counts[owner], p, pieces.lattice(cut)) for cut, owner in blocks(words)), np.zeros((size, langs)))
         used += smoothing
         p = used / used.sum(0)
     return p
@@ -200,26 +206,31 @@ def train(rows: list[tuple[str, str]], vocabulary: str) -> tuple[list[str], np.n
     return langs, expectation_maximisation(Pieces(vocabulary), list(table), counts)
 
 
-def sample(docs: DataFrame, learn: Column, per_language: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most ``per_language`` (text, language) rows of each language, where ``learn`` holds.
+def sample(docs: DataFrame, learn: Column, per_language: int = 200, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """At most ``per_language`` (text, language) rows of each language with ``most_bytes`` of its text, where ``learn`` holds.
 
-    The rows with the smallest hashes of their id are taken, which does not depend on
-    how the table is split; only their ids are ranked, so that texts are not shuffled.
+    The rows with the smallest hashes of their id are taken, which does not depend on how
+    the table is split, and of rows of one id and language the one whose text has the
+    smallest hash; texts that would go beyond the bound of bytes are left out.  Only ids
+    and hashes are ranked, so that texts are not shuffled.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    ids = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(17)).alias("h"))
-    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("id")
-    chosen = [r.id for r in ids.collect()]
-    return [(r.text, r.lang) for r in docs.where(learn & F.col(id_col).isin(chosen)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").collect()]
+    known = docs.where(learn & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("y"), F.col(text_col).cast("string").alias("t"))
+    order = Window.partitionBy("y").orderBy("h", "i")
+    ids = known.groupBy("y", "i").agg(F.min(F.struct(F.xxhash64("t").alias("p"), F.octet_length("t").alias("n"))).alias("x")).select("y", "i", "x.p", "x.n", F.xxhash64("i", F.lit(17)).alias("h"))
+    best = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    best = best.withColumn("held", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("held") <= most_bytes)
+    chosen = known.sparkSession.createDataFrame(best.select("y", "i", "p").collect(), "y string, i string, p long")  # per_language rows a language
+    picked = known.withColumn("p", F.xxhash64("t")).join(F.broadcast(chosen), ["y", "i", "p"], "left_semi").dropDuplicates(["y", "i"])
+    return [(r.t, r.y) for r in picked.select("t", "y").collect()]
 
 
 _TABLES: dict[tuple, WordTable] = {}
 
 
 def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """doc_id, lang_pred and score (the language's share of the probability, 0 to 1); with ``keep_columns`` after all columns of ``docs``.
+    """doc_id, lang_pred and score (the language's share of the probability, 0 to 1); with ``keep_columns`` after all columns of ``docs``, in place of any of those names.
 
     ``lang_pred`` is ``und`` with score 0 where the text is null or has no letter, or where
     nothing was learned.  Ties go to the language that sorts first.  Repeated rows are
@@ -260,7 +271,7 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, i
             columns = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    own = [F.col(f"`{c}`") for c in docs.columns] if keep_columns else [F.col(id_col).cast("long").alias("doc_id")]
-    rows = docs.select(*own, F.col(text_col).cast("string").alias("__text"))
+    own = [F.col(f"`{c}`") for c in beside(docs, ("lang_pred", "score"))] if keep_columns else [F.col(id_col).cast("long").alias("doc_id")]
+    rows = docs.select(*own, F.col(text_col).cast("string").alias(token[1]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string", "score double"])
     return rows.mapInArrow(run, schema)

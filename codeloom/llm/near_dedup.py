@@ -215,8 +215,11 @@ def _rest(members: DataFrame, nodes: DataFrame, sets: DataFrame, found: DataFram
     c = found.select("id", F.col("component").alias("c"))
     r = members.where("many > 2").join(c, "id", "left").withColumn("c", F.coalesce("c", "id"))
     r = r.join(c.select(F.col("id").alias("hub"), F.col("c").alias("hc")), "hub", "left").withColumn("minor", F.col("c") != F.coalesce("hc", "hub"))
-    minors = r.where("minor").groupBy("key").agg(F.ceil(F.count("*") / s.block).cast("int").alias("mb"))
-    r = r.join(minors, "key").withColumn("ab", F.ceil(F.col("many") / s.block).cast("int"))
+    # members of a large bucket go to several tasks, each with its own copy of the bucket's one row
+    salts = F.ceil(F.col("many") / s.block).cast("int")
+    minors = r.where("minor").groupBy("key", "many").agg(F.ceil(F.count("*") / s.block).cast("int").alias("mb"))
+    minors = minors.select("key", "mb", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    r = r.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).join(minors, ["key", "salt"]).withColumn("ab", salts)
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = r.where("minor").select("key", "band", "id", "c", "minor", F.lit(True).alias("left"), block("mb").alias("i"), F.explode(span("ab")).alias("j"))
@@ -296,7 +299,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     more = written(_confirmed(more, sets, s), f"{folder}/more")
     if not more.isEmpty():
         found = components(links.union(more), f"{folder}/second")
-    for name in ("nodes", "members", "sets"):
+    for name in ("nodes", "members", "sets", "pairs", "links", "rest", "more"):
         remove(spark, f"{folder}/{name}")
 
     twins = classes.where("copies > 1").select("f1", "f2", "rep")

@@ -138,13 +138,16 @@ class Model:
                 del out[-len(space) :], starts[-len(space) :], ends[-len(space) :]
         return bytes(out), np.array(starts, np.int64), np.array(ends, np.int64)
 
-    def spans(self, raw: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end in ``raw`` of each piece; control pieces and the added prefix are empty spans."""
+    def spans(self, raw: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Start and end in ``raw`` of each piece; control pieces and the added prefix are empty spans.
+
+        None if several pieces are unknown ones, whose lengths the ids don't tell.
+        """
         norm, start, end = self.normalise(raw)
         n = self.lengths[ids]
         if self.unknown >= 0 and (free := np.flatnonzero(ids == self.unknown)).size:
             if len(free) > 1:
-                raise ValueError("spans of several unknown pieces need a model with byte pieces")
+                return None
             n[free] = len(norm) - n.sum()
         hi = np.cumsum(n)
         if (hi[-1] if len(hi) else 0) != len(norm):
@@ -170,7 +173,8 @@ def encode_decode(docs: DataFrame, path: str, begin: bool = True, end: bool = Tr
     ``ids``, ``starts`` and ``ends`` are little-endian unsigned 32-bit integers: the piece
     and its span in the UTF-8 bytes of the text.  Null and empty texts have the control
     ids alone and decode to the empty text.  Repeated rows are encoded each for itself,
-    null ids stay null, other columns are left out.
+    null ids stay null, other columns are left out.  Spans are null where a model without
+    byte pieces leaves several pieces unknown.  A text is held whole, whatever its length.
     """
     small_batches(docs.sparkSession, 500)
 
@@ -183,8 +187,8 @@ def encode_decode(docs: DataFrame, path: str, begin: bool = True, end: bool = Tr
                 encoded = m.library.encode(part, add_bos=begin, add_eos=end, num_threads=1)
                 decoded = m.library.decode(encoded, num_threads=1)
                 ids = [np.array(x, "<u4") for x in encoded]
-                spans = [m.spans(t.encode(), x) for t, x in zip(part, ids, strict=True)]
-                columns = [pa.array([len(x) for x in ids], pa.int64()), *(pa.array([x.astype("<u4").tobytes() for x in y], pa.binary()) for y in (ids, [s for s, _ in spans], [e for _, e in spans])), pa.array(decoded, pa.string())]
+                spans = [m.spans(t.encode(), x) or (None, None) for t, x in zip(part, ids, strict=True)]
+                columns = [pa.array([len(x) for x in ids], pa.int64()), *(pa.array([None if x is None else x.astype("<u4").tobytes() for x in y], pa.binary()) for y in (ids, [s for s, _ in spans], [e for _, e in spans])), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 64].cast(pa.int64()), *columns], ["doc_id", "n_tokens", "ids", "starts", "ends", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)

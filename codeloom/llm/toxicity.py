@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_batches, text_steps
+from codeloom.llm.common import beside, small_batches, text_steps
 from codeloom.llm.textkernel import BYTE_CODE, LETTERS, LOWER, PrefixHash, WordTable, runs
 
 BUCKETS = 1 << 18
@@ -47,17 +47,17 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct buckets of a text, how often each comes (65,535 at most), and the number of its subwords."""
+    """Distinct buckets of a text, how often each comes, and the number of its subwords."""
     data = LOWER[np.frombuffer(text.encode(), np.uint8)]
     if not len(data):
-        return np.zeros(0, np.int32), np.zeros(0, np.uint16), 0
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), 0
     starts, ends = runs(LETTERS[data], np.array([0, len(data)]))
     if not len(starts):
-        return np.zeros(0, np.int32), np.zeros(0, np.uint16), 0
+        return np.zeros(0, np.int32), np.zeros(0, np.int32), 0
     raw = data.tobytes()
     buckets, _ = subwords([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
     found, many = np.unique(buckets, return_counts=True)
-    return found.astype(np.int32), np.minimum(many, 65_535).astype(np.uint16), len(buckets)
+    return found.astype(np.int32), many.astype(np.min_scalar_type(int(many.max()))), len(buckets)
 
 
 def train(rows: list[tuple[str, int]], width: int = 4, updates: int = 1300, rate: float = 0.3, batch: int = 32, seed: int = 7, start: float = 0.02, damp: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -103,21 +103,35 @@ def train(rows: list[tuple[str, int]], width: int = 4, updates: int = 1300, rate
     return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 14_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """At most ``rows`` (text, label) rows: those of the labels under ``learn`` whose ids have the smallest hashes.
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 14_000, most_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
+    """At most ``rows`` (text, label) rows with ``most_bytes`` of text: those of the labels under ``learn`` whose ids have the smallest hashes.
 
-    Labels other than 0 and 1 and labels without a document are left out.
+    Labels other than 0 and 1 and labels without a document are left out; of several labels
+    of an id the larger counts, and of several texts the one with the smallest hash.  Texts
+    that would go beyond the bound of bytes are left out, later ones in the order first.
     """
-    chosen = labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("int").alias("__y")).orderBy(F.xxhash64(F.col("__id"), F.lit(23)), "__id").limit(rows)
-    found = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__t")).join(F.broadcast(chosen), "__id")  # at most ``rows`` rows
-    return [(r["__t"] or "", r["__y"]) for r in found.collect()]
+    rank = F.xxhash64(F.col("i"), F.lit(23))
+    chosen = labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("i")).agg(F.max(label_col).cast("int").alias("y")).orderBy(rank, "i").limit(rows)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = docs.select(F.col(id_col).cast("long").alias("i"), text.alias("t")).join(F.broadcast(chosen), "i")  # at most ``rows`` rows
+    print_ = F.struct(F.xxhash64("t").alias("h"), F.octet_length("t").cast("long").alias("n"))
+    sizes = found.groupBy("i").agg(F.min(print_).alias("p")).select("i", "p.h", "p.n", rank.alias("k")).collect()  # one row an id
+    keep, held = [], 0
+    for r in sorted(sizes, key=lambda r: (r.k, r.i)):
+        held += r.n
+        if held > most_bytes:
+            break
+        keep.append((r.i, r.h))
+    one = F.broadcast(found.sparkSession.createDataFrame(keep, "i long, h long"))  # at most ``rows`` rows
+    picked = found.withColumn("h", F.xxhash64("t")).join(one, ["i", "h"]).dropDuplicates(["i"])
+    return [(r.t, r.y) for r in picked.select("t", "y").collect()]
 
 
 _TABLES: dict[str, WordTable] = {}
 
 
 def score(docs: DataFrame, numbers: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
-    """doc_id and score (probability of class 1); with ``keep_columns`` score after all columns of ``docs``.
+    """doc_id and score (probability of class 1); with ``keep_columns`` score after all columns of ``docs``, in place of one of that name.
 
     Null texts, empty ones and those without a letter have the score of the bias alone.
     Repeated rows are scored each for itself; an empty table gives no rows.
@@ -147,7 +161,7 @@ def score(docs: DataFrame, numbers: np.ndarray, bias: float, id_col: str = "doc_
                 found.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found))], [*batch.schema.names[:-1], "score"])
 
-    own = [F.col(f"`{c}`") for c in docs.columns] if keep_columns else [F.col(id_col).cast("long").alias("doc_id")]
-    rows = docs.select(*own, F.col(text_col).cast("string").alias("__text"))
+    own = [F.col(f"`{c}`") for c in beside(docs, ("score",))] if keep_columns else [F.col(id_col).cast("long").alias("doc_id")]
+    rows = docs.select(*own, F.col(text_col).cast("string").alias(token))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "score double"])
     return rows.mapInArrow(run, schema)

@@ -96,7 +96,7 @@ def test_language_held_out_accuracy_and_odd_rows(spark, docs, rows, no_docs):
     held = {r.doc_id: r.lang for r in d.where(fold(4) == 2).collect()}
     got = {r.doc_id: r for r in language_id.predict(d, langs, p, PIECE_BPE).collect()}
     assert len(got) == d.count() and np.mean([got[i].lang_pred == v for i, v in held.items()]) > 0.96
-    clash = docs.withColumn("lang_pred", F.lit("x")).drop("lang_pred").withColumn("score", F.lit(1)).drop("score")
+    clash = docs.withColumns({"lang_pred": F.lit("x"), "Score": F.lit(1), "__text": F.lit(2)}).drop("__text")
     odd = language_id.predict(clash, langs, p, PIECE_BPE, keep_columns=True)
     assert odd.columns == [*docs.columns, "lang_pred", "score"]
     for r in odd.collect():
@@ -121,7 +121,7 @@ def test_toxicity_held_out_and_unseen_spellings(spark, docs, no_docs):
     few = spark.createDataFrame([(1, plain), (2, misspelt)], "doc_id long, text string")
     s = {r.doc_id: r.score for r in toxicity.score(few, number, bias).collect()}
     assert s[2] > s[1] and s[2] > 0.5
-    odd = toxicity.score(docs, number, bias, keep_columns=True)
+    odd = toxicity.score(docs.withColumn("SCORE", F.lit("x")), number, bias, keep_columns=True)
     assert odd.columns == [*docs.columns, "score"]
     base = 1 / (1 + np.exp(-bias))
     for r in odd.collect():
@@ -129,3 +129,70 @@ def test_toxicity_held_out_and_unseen_spellings(spark, docs, no_docs):
     assert toxicity.score(no_docs, number, bias).count() == 0
     assert toxicity.sample(docs, labels.limit(0), F.lit(True)) == []
     assert toxicity.train([])[1] < 0
+
+
+def test_samples_take_one_row_of_an_id_and_bounded_bytes(spark):
+    rows = [(i, f"text {i} " * 20, "en" if i % 2 else "fr") for i in range(30)] + [(3, "another text of three", "en")] * 500
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(3, 0)] * 50, "doc_id long, toxic int")
+    got = toxicity.sample(d, labels, F.lit(True))
+    assert len(got) == 30 and sum(y for _, y in got) == 15
+    few = toxicity.sample(d, labels, F.lit(True), most_bytes=1000)
+    assert 0 < len(few) < 30 and sum(len(t) for t, _ in few) <= 1000 and set(few) <= set(got)
+    got = language_id.sample(d, F.lit(True))
+    assert sorted(y for _, y in got) == ["en"] * 15 + ["fr"] * 15
+    few = language_id.sample(d, F.lit(True), most_bytes=1000)
+    assert all(sum(len(t) for t, y in few if y == x) <= 1000 for x in ("en", "fr")) and {y for _, y in few} == {"en", "fr"}
+
+
+def test_many_languages_are_taken_in_blocks(monkeypatch):
+    pieces, rng = language_id.Pieces(PIECE_BPE), np.random.default_rng(1)
+    words = [w for w in _long_words() if len(w) < 200] + ["house", "maison", "casa"]
+    counts = rng.integers(0, 4, (len(words), 5)).astype(float)
+    whole = language_id.expectation_maximisation(pieces, words, counts)
+    table = language_id.forward(pieces, words, whole)
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    monkeypatch.setattr(language_id, "SHORT_WORDS", 3)
+    assert language_id.expectation_maximisation(pieces, words, counts) == pytest.approx(whole)
+    assert language_id.forward(pieces, words, whole) == pytest.approx(table)
+
+
+def test_toxicity_scores_are_means_of_subwords(spark):
+    """Every score against words and n-grams taken one by one from the text."""
+    import re
+
+    from codeloom.llm.textkernel import BYTE_CODE, PrefixHash
+
+    number, bias = np.random.default_rng(2).standard_normal(toxicity.BUCKETS).astype(np.float32), 0.25
+    texts = ["The the, cat-sat don't ÉTÉ x", "", None, "1234 !?", "a" * 300 + " bb", "日本 stupid stupidd"]
+
+    def bucket(x):
+        return int(PrefixHash(BYTE_CODE[np.frombuffer(x, np.uint8)]).of(np.array([0]), np.array([len(x)]))[0] & np.uint64(toxicity.BUCKETS - 1))
+
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), number, bias).collect()}
+    for i, t in enumerate(texts):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode())
+        all_of = []
+        for w in re.findall(rb"[a-z\x80-\xff]+", low):
+            x = b"<" + w + b">"
+            all_of += [x] + [x[k : k + n] for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1) for k in range(len(x) - n + 1)]
+        logit = toxicity.SCALE * sum(float(number[bucket(x)]) for x in all_of) / (len(all_of) + toxicity.BLANKS) + bias
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-9)
+
+
+def test_training_lowers_the_loss_of_its_rows():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    rows = [(" ".join(rng.choice(words[:280], 30)) + (" " + " ".join(rng.choice(words[280:], 3)) if y else ""), y) for y in [0, 1] * 150]
+    number, bias = toxicity.train(rows, updates=300)
+
+    def loss(n, b):
+        out = 0
+        for t, y in rows:
+            found, many, total = toxicity.bag(t)
+            logit = toxicity.SCALE * float((n[found] * many).sum()) / (total + toxicity.BLANKS) + b
+            out += np.logaddexp(0, -logit if y else logit)
+        return out / len(rows)
+
+    assert loss(number, bias) < 0.2 < loss(np.zeros_like(number), 0.0)
+    assert toxicity.bag("ab " * 70_000)[1].max() == 140_000  # the word itself is one of its n-grams

@@ -44,6 +44,16 @@ def test_repeated_rows_and_null_ids(spark, docs):
     assert {900001, 900002, 900003} <= set(ids)
 
 
+def test_clashing_columns_and_ids_with_several_texts(spark, stages):
+    from pyspark.sql import functions as F
+
+    few = stages[""].where("doc_id < 300").withColumns({"score": F.lit("mine"), "lang_pred": F.lit(7), "a.b": F.lit(1), "component_id": F.lit(None).cast("long"), "n": F.lit(2), "kept": F.lit(False)})
+    more = few.where("doc_id = 5").withColumn("text", F.lit("x"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, few.unionByName(more) if name == "near_dedup" else few, SF)
+        assert got.columns == few.columns and got.exceptAll(few).count() == 0 and got.count() > 100
+
+
 def test_last_stage_and_run(spark, stages):
     last = stages["packing"]
     assert last.select("doc_id").distinct().count() == stages["near_dedup"].count()

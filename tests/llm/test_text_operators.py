@@ -322,3 +322,30 @@ def test_a_piece_goes_where_it_fits_whole():
             assert at == 100 - free[b] and n == min(left, free[b])
             free[b] -= n
             cost[b] += n + n * n / 1024
+
+
+def test_very_many_equal_rows_spread_over_buckets(spark, tmp_path):
+    rows = [(1, "same")] * 3000 + [(None, None)] * 2000 + [(i, f"text {i}") for i in range(2, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shuffle_shards.shard_rows(docs, 4, bucket_bytes=20_000, folder=f"file://{tmp_path}/q", equal_rows=100).collect()
+    assert bag((x.doc_id, x.text) for x in got) == bag(rows)
+    by = defaultdict(list)
+    for x in got:
+        by[x.shard].append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    order = [x.doc_id for x in sorted(got, key=lambda x: (x.shard, x.slot))]
+    longest = max(len(list(g)) for k, g in __import__("itertools").groupby(order) if k == 1)
+    assert longest < 200  # equal rows don't stand together
+
+
+def test_shards_do_not_depend_on_how_rows_come_unless_very_many_are_equal(spark, docs, tmp_path):
+    a = shuffle_shards.shard_rows(docs, 4, folder=f"file://{tmp_path}/a")
+    assert a.exceptAll(shuffle_shards.shard_rows(docs.repartition(7), 4, folder=f"file://{tmp_path}/b")).count() == 0
+
+
+def test_spans_are_null_where_ids_do_not_tell_them():
+    m = object.__new__(sentencepiece_offsets.Model)
+    m.map, m.prefix, m.squeeze, m.escape, m.unknown, m.lengths = None, False, False, False, 0, np.array([0, 1])
+    assert m.spans(b"abc", np.array([0, 1, 0])) is None
+    lo, hi = m.spans(b"abc", np.array([0, 1]))
+    assert lo.tolist() == [0, 2] and hi.tolist() == [2, 3]
