@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import beside, small_batches, text_steps
+from codeloom.llm.common import beside, give_back, small_batches, text_steps
 from codeloom.llm.sentencepiece_offsets import fields
 from codeloom.llm.textkernel import LETTERS, LOWER, PrefixHash, WordTable, mix64, runs
 
@@ -203,7 +203,10 @@ def train(rows: list[tuple[str, str]], vocabulary: str) -> tuple[list[str], np.n
     if not table:
         return [], np.zeros((0, 0))
     counts = np.array([[c[x] for x in langs] for c in table.values()], float)
-    return langs, expectation_maximisation(Pieces(vocabulary), list(table), counts)
+    p = expectation_maximisation(Pieces(vocabulary), list(table), counts)
+    del table, counts
+    give_back()
+    return langs, p
 
 
 def sample(docs: DataFrame, learn: Column, per_language: int = 200, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:

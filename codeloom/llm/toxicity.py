@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import beside, small_batches, text_steps
+from codeloom.llm.common import beside, give_back, small_batches, text_steps
 from codeloom.llm.textkernel import BYTE_CODE, LETTERS, LOWER, PrefixHash, WordTable, runs
 
 BUCKETS = 1 << 18
@@ -69,7 +69,12 @@ def train(rows: list[tuple[str, int]], width: int = 4, updates: int = 1300, rate
     if len({y for _, y in rows}) < 2:  # nothing to tell apart
         return np.zeros(BUCKETS, np.float32), 30.0 if rows and rows[0][1] else -30.0
     rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    bags = [bag(t) for t, _ in rows]
+    bags: list[tuple[np.ndarray, np.ndarray, int]] = []
+    for k in range(0, len(rows), 500):  # kept as slices of a few large arrays
+        some = [bag(t) for t, _ in rows[k : k + 500]]
+        cuts = np.cumsum([0, *(len(x[0]) for x in some)]).tolist()
+        found, many = (np.concatenate([x[c] for x in some]) for c in (0, 1))
+        bags += [(found[a:b], many[a:b], x[2]) for x, a, b in zip(some, cuts[:-1], cuts[1:], strict=True)]
     y = np.array([c for _, c in rows])
     table = rng.uniform(-1, 1, (BUCKETS, width)) * start
     layer, bias = rng.normal(0, 0.5, (width, 2)), np.zeros(2)
@@ -100,6 +105,8 @@ def train(rows: list[tuple[str, int]], width: int = 4, updates: int = 1300, rate
             for value, seen, g in ((layer, seen_layer, x.T @ z), (bias, seen_bias, z.sum(0))):
                 seen += g * g
                 value -= 0.1 * step * g / np.sqrt(seen)
+    del bags, some, found, many, e, share, col, row
+    give_back()
     return (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
