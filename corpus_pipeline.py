@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import language_id, near_dedup, packing, toxicity
-from codeloom.llm.common import remove, shared_dir, written
+from codeloom.llm.common import give_back, remove, shared_dir, written
 from codeloom.llm.queries import BYTE_BPE, PIECE_BPE, fold, table
 
 #: A document is rejected by language ID if no learned language has this share of its probability.
@@ -31,6 +31,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language learned from labelled rows; those without a letter (``und``) go."""
     langs, p = language_id.train(language_id.sample(docs, fold(4) != 2), PIECE_BPE)
+    give_back()
     rows, names = _numbered(docs)
     judged = language_id.predict(rows, langs, p, PIECE_BPE, id_col=names["doc_id"], text_col=names["text"], keep_columns=True)
     keep = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)
@@ -40,6 +41,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents scored below ``TOXIC`` by a model of the labelled documents that are still there."""
     model = toxicity.train(toxicity.sample(docs, table(spark, sf_dir, "labels"), fold(5) != 0))
+    give_back()
     rows, names = _numbered(docs)
     judged = toxicity.score(rows, *model, id_col=names["doc_id"], text_col=names["text"], keep_columns=True)
     return judged.where(F.col("score") < TOXIC).select(*names.values()).toDF(*docs.columns)
