@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +22,40 @@ def breadth_first(parents: dict[str, list[str]], start: str) -> list[str]:
     return out
 
 
-def c3(parents: dict[str, list[str]], start: str, above: tuple[str, ...] = ()) -> list[str] | None:
-    """Ancestors by C3 linearisation; None for cycles and orders that contradict each other."""
-    if start in above:
-        return None
-    own = parents.get(start, [])
-    lists = [c3(parents, p, (*above, start)) for p in own]
-    if any(x is None for x in lists):
+def c3(parents: dict[str, list[str]], start: str, known: dict[str, list[str] | None] | None = None) -> list[str] | None:
+    """Ancestors by C3 linearisation; None for cycles and orders that contradict each other.
+
+    ``known`` keeps the orders of classes already solved; each class is solved once, after
+    its parents, without recursion.
+    """
+    known = {} if known is None else known
+    open_: set[str] = set()
+    stack = [start]
+    while stack:
+        c = stack[-1]
+        if c in known:
+            stack.pop()
+            continue
+        own = parents.get(c, [])
+        left = [p for p in own if p not in known]
+        if left and c not in open_:
+            open_.add(c)
+            stack += left
+        else:  # a parent that is still open stands above its own child
+            known[c] = None if left else _merge([known[p] for p in own], own)
+            open_.discard(c)
+            stack.pop()
+    return known[start]
+
+
+def _merge(orders: list[list[str] | None], own: list[str]) -> list[str] | None:
+    if any(x is None for x in orders):
         return None
-    lists = [[p, *x] for p, x in zip(own, lists, strict=True)] + [list(own)]
+    lists = [[p, *x] for p, x in zip(own, orders, strict=True)] + [list(own)]
     out: list[str] = []
     while lists := [x for x in lists if x]:
-        head = next((x[0] for x in lists if not any(x[0] in y[1:] for y in lists)), None)
+        behind = Counter(c for x in lists for c in x[1:])
+        head = next((x[0] for x in lists if not behind[x[0]]), None)
         if head is None:
             return None
         out.append(head)
@@ -53,9 +77,9 @@ def linearise(heritage: DataFrame) -> DataFrame:
         for r in pdf.sort_values(["seq", "parent"]).itertuples():
             if r.parent not in parents.setdefault(r.child, []):
                 parents[r.child].append(r.parent)
-        rows = []
+        rows, known = [], {}
         for c in sorted(parents):
-            order = c3(parents, c)
+            order = c3(parents, c, known)
             rows += [(c, i, a, order is not None) for i, a in enumerate(order if order is not None else breadth_first(parents, c))]
         return pd.DataFrame(rows, columns=["class", "position", "ancestor", "consistent"])
 

@@ -112,14 +112,14 @@ def resolve_names(refs: DataFrame, symbols: DataFrame, imports: DataFrame, bindi
     return tiered(r, tiers)
 
 
-def longest_prefix(paths: DataFrame, prefixes: DataFrame, most: int = 16) -> DataFrame:
+def longest_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Each path (path) with the first (by ord) prefix (prefix, target, ord) it starts with, replaced.
 
-    Prefixes end at a separator, or are whole paths, so that a path has a bounded number of
-    candidates and the join is an equality.
+    Prefixes end at a separator, or are whole paths, so that a path has as many candidates
+    as it has folders and the join is an equality.
     """
     p = paths.select("path").distinct()
-    cuts = F.expr(f"transform(sequence(1, least(size(split(path, '/')), {most})), k -> substring_index(path, '/', k))")
+    cuts = F.expr("transform(sequence(1, size(split(path, '/'))), k -> substring_index(path, '/', k))")
     c = p.select("path", F.explode(F.array_distinct(F.concat(cuts, F.transform(cuts, lambda x: F.concat(x, F.lit("/")))))).alias("prefix")).where(F.col("path").startswith(F.col("prefix")))
     hit = first_by(c.join(prefixes, "prefix"), ["path"], F.col("ord"), F.col("prefix"))
     return p.join(hit.select("path", "prefix", F.concat("target", F.expr("substring(path, length(prefix) + 1)")).alias("resolved")), "path", "left")

@@ -65,9 +65,12 @@ def semantic_topk(embeddings: DataFrame, query: list[float], k: int = 10, thresh
 def classify_by_reference(embeddings: DataFrame, references: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(symbol_id, category, score): the reference (category, vector) nearest by cosine, or unknown below the threshold.
 
-    References are a handful of fixed texts' vectors and go to every task.
+    References are a handful of fixed texts' vectors and go to every task; more than 64 raise.
     """
-    refs = F.array(*[F.struct(F.lit(r.category).alias("category"), F.array(*[F.lit(float(x)) for x in r.vector]).alias("v")) for r in references.orderBy("category").limit(64).collect()])
+    few = references.orderBy("category").limit(65).collect()
+    if len(few) > 64:
+        raise ValueError("more than 64 references")
+    refs = F.array(*[F.struct(F.lit(r.category).alias("category"), F.array(*[F.lit(float(x)) for x in r.vector]).alias("v")) for r in few])
     scored = F.transform(refs, lambda r: F.struct(graph.cosine(F.col("embedding"), r["v"]).alias("score"), r["category"].alias("category")))
     best = embeddings.select("symbol_id", F.array_max(scored).alias("b"))
     return best.select("symbol_id", F.when(F.col("b.score") >= threshold, F.col("b.category")).otherwise("unknown").alias("category"), F.col("b.score").alias("score"))

@@ -62,13 +62,18 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return symbols(spark, sf_dir).select(F.col("brand").alias("cluster_id"), "id", "seq")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """The number of parts, whose keys count from 0."""
+    return table(spark, sf_dir, "part").count()
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' events in order; an event's symbol is by its id."""
     from pyspark.sql import Window
 
-    e = table(spark, sf_dir, "events").where("user_id % 10 = 0")
+    e = table(spark, sf_dir, "events")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select(F.concat(F.lit("flow"), F.col("user_id").cast("string")).alias("process_id"), n.cast("int").alias("step_order"), F.concat(F.lit("p"), (F.col("event_id") * 7 % 200).cast("string")).alias("symbol_id"))
+    return e.select(F.concat(F.lit("flow"), F.col("user_id").cast("string")).alias("process_id"), n.cast("int").alias("step_order"), F.concat(F.lit("p"), (F.col("event_id") * 7 % parts(spark, sf_dir)).cast("string")).alias("symbol_id"))
 
 
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +83,8 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th line item is a hunk of its part's file; some files are deleted, some have no hunk."""
-    x = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"))
+    """A line item is a hunk of its part's file; some files are deleted, some have no hunk."""
+    x = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"))
     f = symbols(spark, sf_dir).select("id", F.col("file_path").alias("path"))
     status = F.when(F.col("k") % 97 == 0, "deleted").otherwise("modified")
     return x.join(f, "id").select("path", F.lit(None).cast("string").alias("old_path"), status.alias("status"), F.when(F.col("k") % 89 != 0, F.col("q") * 10).alias("hunk_start"), (F.col("n") % 4).cast("int").alias("hunk_lines"))
@@ -113,11 +118,11 @@ DENSE_SQL = _calls_sql("dense", "l_returnflag = 'R'")
 EDGES_SQL = CALLS_SQL + "," + _calls_sql("refs", "l_returnflag = 'R'", "references") + ",\nedges AS (SELECT * FROM calls UNION ALL SELECT * FROM refs)"
 STEPS_SQL = """
 steps AS (SELECT 'flow' || user_id AS process_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS step_order,
-  'p' || (event_id * 7 % 200) AS symbol_id FROM events WHERE user_id % 10 = 0)"""
+  'p' || (event_id * 7 % (SELECT count(*) FROM part)) AS symbol_id FROM events)"""
 HUNKS_SQL = """
 hunks AS (SELECT s.file_path AS path, CASE WHEN l_partkey % 97 = 0 THEN 'deleted' ELSE 'modified' END AS status,
   CASE WHEN l_partkey % 89 <> 0 THEN CAST(l_quantity AS INT) * 10 END AS hunk_start, CAST(l_linenumber % 4 AS INT) AS hunk_lines
-  FROM lineitem JOIN symbols s ON s.id = 'p' || l_partkey WHERE l_orderkey % 50 = 0)"""
+  FROM lineitem JOIN symbols s ON s.id = 'p' || l_partkey)"""
 
 
 def sql(*parts: str) -> str:

@@ -53,16 +53,16 @@ def dead_code(spark, sf_dir):
     return find_dead_code(fx.symbols(spark, sf_dir), fx.calls(spark, sf_dir)).select("id", "name", "kind", "file_path")
 
 
-@query("callers", fx.SYMBOLS_SQL, fx.CALLS_SQL, "SELECT DISTINCT c.dst AS target, s.id, s.name, s.file_path FROM calls c JOIN symbols s ON s.id = c.src WHERE c.dst IN (SELECT id FROM symbols WHERE seq % 10 = 0)")
+@query("callers", fx.SYMBOLS_SQL, fx.CALLS_SQL, "SELECT DISTINCT c.dst AS target, s.id, s.name, s.file_path FROM calls c JOIN symbols s ON s.id = c.src")
 def callers(spark, sf_dir):
     s = fx.symbols(spark, sf_dir)
-    return relate.neighbours(fx.calls(spark, sf_dir), s, s.where("seq % 10 = 0"), "up").select(F.col("of").alias("target"), "id", "name", "file_path")
+    return relate.neighbours(fx.calls(spark, sf_dir), s, s, "up").select(F.col("of").alias("target"), "id", "name", "file_path")
 
 
-@query("callees", fx.SYMBOLS_SQL, fx.CALLS_SQL, "SELECT DISTINCT c.src AS target, s.id, s.name, s.file_path FROM calls c JOIN symbols s ON s.id = c.dst WHERE c.src IN (SELECT id FROM symbols WHERE seq % 10 = 0)")
+@query("callees", fx.SYMBOLS_SQL, fx.CALLS_SQL, "SELECT DISTINCT c.src AS target, s.id, s.name, s.file_path FROM calls c JOIN symbols s ON s.id = c.dst")
 def callees(spark, sf_dir):
     s = fx.symbols(spark, sf_dir)
-    return relate.neighbours(fx.calls(spark, sf_dir), s, s.where("seq % 10 = 0"), "down").select(F.col("of").alias("target"), "id", "name", "file_path")
+    return relate.neighbours(fx.calls(spark, sf_dir), s, s, "down").select(F.col("of").alias("target"), "id", "name", "file_path")
 
 
 _ROLE = "CASE WHEN i = 0 AND o = 0 THEN 'Isolated' WHEN i = 0 THEN 'EntryPoint' WHEN o = 0 THEN 'Utility' WHEN (i <= 2 AND o > 5) OR (o <= 2 AND i > 5) THEN 'Adapter' ELSE 'CoreLogic' END"
@@ -104,9 +104,9 @@ def _reach_sql(edges: str, depth: int, up: bool) -> str:
     return f"walk AS (SELECT s.id AS seed, e.{b} AS id, 1 AS depth FROM seeds s JOIN {edges} e ON e.{a} = s.id UNION SELECT w.seed, e.{b}, w.depth + 1 FROM walk w JOIN {edges} e ON e.{a} = w.id WHERE w.depth < {depth}), reach AS (SELECT seed, id, min(depth) AS depth FROM walk GROUP BY 1, 2)"
 
 
-@query("impact_transitive", fx.SYMBOLS_SQL, fx.CALLS_SQL, "seeds AS (SELECT id FROM symbols WHERE seq % 100 = 5)", _reach_sql("calls", 10, True), "SELECT seed, id, CAST(depth AS INT) AS depth FROM reach")
+@query("impact_transitive", fx.SYMBOLS_SQL, fx.CALLS_SQL, "seeds AS (SELECT id FROM symbols)", _reach_sql("calls", 10, True), "SELECT seed, id, CAST(depth AS INT) AS depth FROM reach")
 def impact_transitive(spark, sf_dir):
-    return traverse.reach(fx.calls(spark, sf_dir), fx.symbols(spark, sf_dir).where("seq % 100 = 5"), 10, "up")
+    return traverse.reach(fx.calls(spark, sf_dir), fx.symbols(spark, sf_dir), 10, "up")
 
 
 @query("impact_dense_depth20", fx.DENSE_SQL, _busiest_sql(3, "dense"), _reach_sql("dense", 20, False), "SELECT seed, id, CAST(depth AS INT) AS depth FROM reach")
@@ -118,20 +118,20 @@ _IMPACT = "impact AS (SELECT r.seed, r.id, s.name, r.depth, i, o, s.visibility =
 
 
 @query(
-    "impact_analysis", fx.SYMBOLS_SQL, fx.CALLS_SQL, "seeds AS (SELECT id FROM symbols WHERE seq % 100 = 5)", _reach_sql("calls", 20, True), _DEGREES.format(e="calls"), _IMPACT,
+    "impact_analysis", fx.SYMBOLS_SQL, fx.CALLS_SQL, "seeds AS (SELECT id FROM symbols)", _reach_sql("calls", 20, True), _DEGREES.format(e="calls"), _IMPACT,
     f"SELECT seed, id, CAST(depth AS INT) AS depth, {_ROLE} AS role, round(greatest(0, 0.95 - (depth - 1) * 0.12 - CASE WHEN {_ROLE} = 'Isolated' THEN CASE WHEN exported THEN 0.15 ELSE 0.35 END ELSE 0 END), 6)::DOUBLE AS confidence, "
     "CASE WHEN max(CASE WHEN regexp_matches(name, '(?i)auth|payment|checkout|security|session|token') THEN 1 ELSE 0 END) OVER (PARTITION BY seed) = 1 THEN 'critical' WHEN count(*) OVER (PARTITION BY seed) >= 11 THEN 'high' WHEN count(*) OVER (PARTITION BY seed) >= 3 THEN 'medium' ELSE 'low' END AS risk FROM impact",
 )
 def impact_analysis(spark, sf_dir):
-    return impact_rows(spark, sf_dir, fx.symbols(spark, sf_dir).where("seq % 100 = 5"))
+    return impact_rows(spark, sf_dir)
 
 
-def impact_rows(spark, sf_dir, seeds=None):
-    """What a change of the seeds reaches; of every symbol if none are given."""
+def impact_rows(spark, sf_dir):
+    """What a change of each symbol reaches."""
     from codeloom.plans.tools import impact
 
     s = fx.symbols(spark, sf_dir)
-    return impact(s, fx.calls(spark, sf_dir), s if seeds is None else seeds).select("seed", "id", "depth", "role", F.round("confidence", 6).alias("confidence"), "risk")
+    return impact(s, fx.calls(spark, sf_dir), s).select("seed", "id", "depth", "role", F.round("confidence", 6).alias("confidence"), "risk")
 
 
 @query("impact_external_dependency", "SELECT 'ext:' || s_suppkey AS id, s_name AS name FROM supplier WHERE contains(lower(s_name), 'supplier000000007') OR contains(lower(replace(s_name, '#', '')), 'supplier000000007') ORDER BY length(s_name), 1 LIMIT 1")
@@ -207,14 +207,14 @@ def rename_plan(spark, sf_dir):
 
 
 @query(
-    "shape_drift", "routes AS (SELECT event_type AS path, 'k' || (CAST(json_extract(props, '$.k') AS INT) % 7) AS k FROM events WHERE event_id % 3 = 0 AND event_id % 50 < 20)", "reads AS (SELECT DISTINCT event_type || ':' || user_id % 20 AS consumer, event_type AS path, 'k' || (CAST(json_extract(props, '$.k') AS INT) % 9) AS k FROM events WHERE event_id % 3 = 1)",
-    "SELECT consumer, r.path, coalesce(string_agg(k, ',' ORDER BY k) FILTER (WHERE NOT EXISTS (SELECT 1 FROM routes x WHERE x.path = r.path AND x.k = r.k)), '') AS missing FROM reads r WHERE r.path IN (SELECT path FROM routes) GROUP BY 1, 2",
+    "shape_drift", "routes AS (SELECT DISTINCT event_type AS path, 'k' || (CAST(json_extract(props, '$.k') AS INT) % (3 + length(event_type) % 5)) AS k FROM events)", "reads AS (SELECT DISTINCT event_type || ':' || user_id AS consumer, event_type AS path, 'k' || (CAST(json_extract(props, '$.k') AS INT) % 9) AS k FROM events)",
+    "SELECT consumer, r.path, coalesce(string_agg(r.k, ',' ORDER BY r.k) FILTER (WHERE x.k IS NULL), '') AS missing FROM reads r LEFT JOIN routes x ON x.path = r.path AND x.k = r.k GROUP BY 1, 2",
 )
 def shape_drift(spark, sf_dir):
     e = T(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k int")["k"])
     key = lambda n: F.concat(F.lit("k"), (F.col("k") % n).cast("string"))
-    routes = e.where("event_id % 3 = 0 and event_id % 50 < 20").groupBy(F.col("event_type").alias("path")).agg(F.collect_set(key(7)).alias("keys"))
-    reads = e.where("event_id % 3 = 1").groupBy(F.concat("event_type", F.lit(":"), (F.col("user_id") % 20).cast("string")).alias("consumer"), F.col("event_type").alias("path")).agg(F.array_sort(F.collect_set(key(9))).alias("keys"))
+    routes = e.groupBy(F.col("event_type").alias("path")).agg(F.collect_set(key(3 + F.length("event_type") % 5)).alias("keys"))
+    reads = e.groupBy(F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("consumer"), F.col("event_type").alias("path")).agg(F.array_sort(F.collect_set(key(9))).alias("keys"))
     return relate.contract_drift(routes, reads).select("consumer", "path", F.array_join("missing", ",").alias("missing"))
 
 
@@ -225,20 +225,20 @@ def verify_usage(spark, sf_dir):
     return verify(fx.symbols(spark, sf_dir), fx.calls(spark, sf_dir))
 
 
-@query("verify_edge", fx.EDGES_SQL, "claims AS (SELECT DISTINCT 'p' || l_partkey AS src, 'p' || (l_partkey * 3 % 200) AS dst FROM lineitem WHERE l_orderkey % 100 = 0 UNION SELECT src, dst FROM calls WHERE hash(0) = hash(0) AND length(src) = 3)", "SELECT c.src, c.dst, count(e.rel_type) > 0 AS present, coalesce(string_agg(e.rel_type, ',' ORDER BY e.rel_type), '') AS rel_types FROM claims c LEFT JOIN edges e ON e.src = c.src AND e.dst = c.dst GROUP BY 1, 2")
+@query("verify_edge", fx.EDGES_SQL, "claims AS (SELECT DISTINCT 'p' || l_partkey AS src, 'p' || (l_partkey * 3 % (SELECT count(*) FROM part)) AS dst FROM lineitem UNION SELECT src, dst FROM calls)", "SELECT c.src, c.dst, count(e.rel_type) > 0 AS present, coalesce(string_agg(e.rel_type, ',' ORDER BY e.rel_type), '') AS rel_types FROM claims c LEFT JOIN edges e ON e.src = c.src AND e.dst = c.dst GROUP BY 1, 2")
 def verify_edge(spark, sf_dir):
     from codeloom.plans.tools import verify_edges
 
-    x = T(spark, sf_dir, "lineitem").where("l_orderkey % 100 = 0").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") * 3 % 200).cast("string")).alias("dst"))
-    claims = x.union(fx.calls(spark, sf_dir).where("length(src) = 3").select("src", "dst")).distinct()
+    x = T(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") * 3 % fx.parts(spark, sf_dir)).cast("string")).alias("dst"))
+    claims = x.union(fx.calls(spark, sf_dir).select("src", "dst")).distinct()
     return verify_edges(claims, fx.edges(spark, sf_dir)).select("src", "dst", "present", F.array_join("rel_types", ",").alias("rel_types"))
 
 
-@query("verify_reach", fx.SYMBOLS_SQL, fx.CALLS_SQL, _busiest_sql(5), _reach_sql("calls", 20, False), "SELECT a.id AS src, b.id AS dst, r.depth IS NOT NULL AS present, CAST(coalesce(r.depth, -1) AS INT) AS hops FROM seeds a CROSS JOIN (SELECT id FROM symbols WHERE seq % 40 = 7) b LEFT JOIN reach r ON r.seed = a.id AND r.id = b.id")
+@query("verify_reach", fx.SYMBOLS_SQL, fx.CALLS_SQL, _busiest_sql(5), _reach_sql("calls", 20, False), "SELECT a.id AS src, b.id AS dst, r.depth IS NOT NULL AS present, CAST(coalesce(r.depth, -1) AS INT) AS hops FROM seeds a CROSS JOIN symbols b LEFT JOIN reach r ON r.seed = a.id AND r.id = b.id")
 def verify_reach(spark, sf_dir):
     from codeloom.plans.tools import verify_reachability
 
-    claims = _busiest(spark, sf_dir, 5).select(F.col("id").alias("src")).join(fx.symbols(spark, sf_dir).where("seq % 40 = 7").select(F.col("id").alias("dst")))
+    claims = _busiest(spark, sf_dir, 5).select(F.col("id").alias("src")).join(fx.symbols(spark, sf_dir).select(F.col("id").alias("dst")))
     return verify_reachability(claims, fx.calls(spark, sf_dir)).select("src", "dst", "present", F.coalesce("hops", F.lit(-1)).alias("hops"))
 
 
@@ -371,9 +371,9 @@ def process_steps(spark, sf_dir):
     return fx.steps(spark, sf_dir).join(s, F.col("symbol_id") == F.col("id")).select("process_id", "step_order", "id", "name")
 
 
-@query("data_flow_edges", fx.SYMBOLS_SQL, fx.DENSE_SQL, fx.STEPS_SQL, "nxt AS (SELECT process_id, step_order, symbol_id AS src, lead(symbol_id) OVER (PARTITION BY process_id ORDER BY step_order) AS dst FROM steps)", "SELECT n.process_id, n.step_order, n.src, n.dst, s.kind AS data_type FROM nxt n JOIN (SELECT DISTINCT src, dst FROM dense UNION SELECT 'p' || a.range, 'p' || ((a.range + 7) % 200) FROM range(0, 200, 3) a) c ON c.src = n.src AND c.dst = n.dst JOIN symbols s ON s.id = n.src")
+@query("data_flow_edges", fx.SYMBOLS_SQL, fx.DENSE_SQL, fx.STEPS_SQL, "nxt AS (SELECT process_id, step_order, symbol_id AS src, lead(symbol_id) OVER (PARTITION BY process_id ORDER BY step_order) AS dst FROM steps)", "SELECT n.process_id, n.step_order, n.src, n.dst, s.kind AS data_type FROM nxt n JOIN (SELECT DISTINCT src, dst FROM dense UNION SELECT 'p' || seq, 'p' || ((seq + 7) % (SELECT count(*) FROM part)) FROM symbols) c ON c.src = n.src AND c.dst = n.dst JOIN symbols s ON s.id = n.src")
 def data_flow_edges(spark, sf_dir):
-    made = spark.range(0, 200, 3).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("p"), ((F.col("id") + 7) % 200).cast("string")).alias("dst"))
+    made = fx.symbols(spark, sf_dir).select(F.col("id").alias("src"), F.concat(F.lit("p"), ((F.col("seq") + 7) % fx.parts(spark, sf_dir)).cast("string")).alias("dst"))
     calls = fx.calls(spark, sf_dir, dense=True).select("src", "dst").union(made).distinct()
     return flows.data_flow(fx.steps(spark, sf_dir), calls, fx.symbols(spark, sf_dir).withColumn("signature", F.concat(F.lit("f(): "), F.col("kind"))))
 
@@ -424,30 +424,31 @@ def cluster_keyword_category(spark, sf_dir):
 
 def _refs(spark, sf_dir):
     s = fx.symbols(spark, sf_dir)
-    o = T(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("ref_id"), F.concat(F.lit("p"), (F.col("o_custkey") % 200).cast("string")).alias("a"), F.concat(F.lit("p"), (F.col("o_orderkey") * 13 % 200).cast("string")).alias("b"))
+    n = fx.parts(spark, sf_dir)
+    o = T(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref_id"), F.concat(F.lit("p"), (F.col("o_custkey") % n).cast("string")).alias("a"), F.concat(F.lit("p"), (F.col("o_orderkey") * 13 % n).cast("string")).alias("b"))
     return o.join(s.select(F.col("id").alias("a"), "file_path"), "a").join(s.select(F.col("id").alias("b"), "name"), "b").select("ref_id", "file_path", "name")
 
 
-_REFS = "refs0 AS (SELECT o_orderkey AS ref_id, x.file_path, y.name FROM orders JOIN symbols x ON x.id = 'p' || (o_custkey % 200) JOIN symbols y ON y.id = 'p' || (o_orderkey * 13 % 200) WHERE o_orderkey % 5 = 0)"
+_REFS = "refs0 AS (SELECT o_orderkey AS ref_id, x.file_path, y.name FROM orders JOIN symbols x ON x.id = 'p' || (o_custkey % (SELECT count(*) FROM part)) JOIN symbols y ON y.id = 'p' || (o_orderkey * 13 % (SELECT count(*) FROM part)))"
 
 
 @query(
-    "tiered_resolution", fx.SYMBOLS_SQL, _REFS, "imps AS (SELECT DISTINCT x.file_path, y.file_path AS f FROM symbols x JOIN symbols y ON y.seq = x.seq + 3 WHERE x.seq % 4 = 0)", "lasts AS (SELECT file_path, name, max_by(id, seq) AS id, max(seq) AS seq, regexp_replace(file_path, '[^/]*$', '') AS dir FROM symbols GROUP BY 1, 2)",
+    "tiered_resolution", fx.SYMBOLS_SQL, _REFS, "imps AS (SELECT DISTINCT x.file_path, y.file_path AS f FROM symbols x JOIN symbols y ON y.seq = x.seq + 3)", "lasts AS (SELECT file_path, name, max_by(id, seq) AS id, max(seq) AS seq, regexp_replace(file_path, '[^/]*$', '') AS dir FROM symbols GROUP BY 1, 2)",
     "cand AS (SELECT r.ref_id, l.id, l.seq, 0 AS rank FROM refs0 r JOIN lasts l ON l.file_path = r.file_path AND l.name = r.name UNION ALL SELECT r.ref_id, l.id, l.seq, 1 FROM refs0 r JOIN imps i ON i.file_path = r.file_path JOIN lasts l ON l.file_path = i.f AND l.name = r.name "
     "UNION ALL SELECT r.ref_id, l.id, l.seq, 2 FROM refs0 r JOIN lasts l ON l.dir = regexp_replace(r.file_path, '[^/]*$', '') AND l.name = r.name AND l.file_path <> r.file_path UNION ALL SELECT r.ref_id, min(s.id), min(s.seq), 3 FROM refs0 r JOIN symbols s ON s.name = r.name GROUP BY r.ref_id HAVING count(*) = 1)",
     "SELECT r.ref_id, c.id, CASE c.rank WHEN 0 THEN 'same-file' WHEN 1 THEN 'import-scoped' WHEN 2 THEN 'package' WHEN 3 THEN 'global' END AS tier, CASE c.rank WHEN 0 THEN 0.95 WHEN 3 THEN 0.5 WHEN 1 THEN 0.9 WHEN 2 THEN 0.9 END::DOUBLE AS confidence FROM refs0 r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY rank, seq, id) AS k FROM cand) c ON c.ref_id = r.ref_id AND c.k = 1",
 )
 def tiered_resolution(spark, sf_dir):
     s = fx.symbols(spark, sf_dir)
-    imports = s.where("seq % 4 = 0").select("file_path", (F.col("seq") + 3).alias("n")).join(s.select(F.col("seq").alias("n"), F.col("file_path").alias("imported_file")), "n").select("file_path", "imported_file").distinct()
+    imports = s.select("file_path", (F.col("seq") + 3).alias("n")).join(s.select(F.col("seq").alias("n"), F.col("file_path").alias("imported_file")), "n").select("file_path", "imported_file").distinct()
     return relate.resolve_names(_refs(spark, sf_dir), s, imports)
 
 
-_POINTS = "points AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, s.file_path, CAST(l_quantity AS INT) * 10 + CAST(l_linenumber AS INT) * 3 AS line FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2) JOIN symbols s ON s.id = 'p' || l_partkey)"
+_POINTS = "points AS (SELECT l_orderkey * 10 + l_linenumber AS point_id, s.file_path, CAST(l_quantity AS INT) * 10 + CAST(l_linenumber AS INT) * 3 AS line FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) JOIN symbols s ON s.id = 'p' || l_partkey)"
 
 
 def _points(spark, sf_dir):
-    x = T(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("q"))
+    x = T(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"), F.min("l_quantity").alias("q"))
     s = fx.symbols(spark, sf_dir).select("id", "file_path")
     return x.join(s, F.concat(F.lit("p"), F.col("k").cast("string")) == F.col("id")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("point_id"), "file_path", (F.col("q").cast("int") * 10 + F.col("l_linenumber") * 3).alias("line"))
 
@@ -511,11 +512,13 @@ def member_calls(spark, sf_dir):
     return mro.member_calls(calls, mro.linearise(h), m)
 
 
-@query("rexport_chain", "b AS (SELECT 'f' || o_orderkey AS file, 'f' || (o_orderkey * 7 % 900) AS nxt FROM orders WHERE o_orderkey < 900 AND o_orderkey % 3 <> 0)", "walk AS (SELECT file, nxt AS o, [file, nxt] AS seen, 1 AS n FROM b UNION ALL SELECT w.file, b.nxt, list_append(w.seen, b.nxt), n + 1 FROM walk w JOIN b ON b.file = w.o WHERE n < 5 AND NOT list_contains(w.seen, b.nxt))", "SELECT file, max_by(o, n) AS origin_file, CAST(max(n) AS INT) AS n FROM walk GROUP BY file")
+@query("rexport_chain", "b AS (SELECT 'f' || o_orderkey AS file, 'f' || (o_orderkey * 7 % (SELECT count(*) FROM orders)) AS nxt FROM orders WHERE o_orderstatus <> 'F')", "walk AS (SELECT file, nxt AS o, [file, nxt] AS seen, 1 AS n FROM b UNION ALL SELECT w.file, b.nxt, list_append(w.seen, b.nxt), n + 1 FROM walk w JOIN b ON b.file = w.o WHERE n < 5 AND NOT list_contains(w.seen, b.nxt))", "SELECT file, max_by(o, n) AS origin_file, CAST(max(n) AS INT) AS n FROM walk GROUP BY file")
 def rexport_chain(spark, sf_dir):
-    o = T(spark, sf_dir, "orders").where("o_orderkey < 900 and o_orderkey % 3 <> 0")
+    o = T(spark, sf_dir, "orders")
+    n = o.count()
+    o = o.where("o_orderstatus <> 'F'")  # files of finished orders pass nothing on
     name = lambda c: F.concat(F.lit("f"), c.cast("string"))
-    b = o.select(name(F.col("o_orderkey")).alias("file"), F.lit("x").alias("name"), name(F.col("o_orderkey") * 7 % 900).alias("from_file"), F.lit("x").alias("from_name"))
+    b = o.select(name(F.col("o_orderkey")).alias("file"), F.lit("x").alias("name"), name(F.col("o_orderkey") * 7 % n).alias("from_file"), F.lit("x").alias("from_name"))
     return traverse.rexport_chain(b).select("file", "origin_file", "n")
 
 
@@ -574,10 +577,10 @@ def upsert_nodes(spark, sf_dir):
     return store.upsert(s.where("seq % 2 = 0").select("id", "name", "kind"), new.union(late), ["id"], "at")
 
 
-@query("upsert_edges_drop_dangling", fx.SYMBOLS_SQL, fx.CALLS_SQL, "SELECT DISTINCT src, dst, rel_type FROM calls WHERE (src IN (SELECT id FROM symbols WHERE seq % 5 <> 0) AND dst IN (SELECT id FROM symbols WHERE seq % 5 <> 0)) OR length(src) = 4")
+@query("upsert_edges_drop_dangling", fx.SYMBOLS_SQL, fx.CALLS_SQL, "SELECT DISTINCT src, dst, rel_type FROM calls WHERE (src IN (SELECT id FROM symbols WHERE kind <> 'export') AND dst IN (SELECT id FROM symbols WHERE kind <> 'export')) OR length(src) = 4")
 def upsert_edges_drop_dangling(spark, sf_dir):
     c = fx.calls(spark, sf_dir)
-    return store.upsert_edges(c.where("length(src) = 4"), c, fx.symbols(spark, sf_dir).where("seq % 5 <> 0")).select("src", "dst", "rel_type")
+    return store.upsert_edges(c.where("length(src) = 4"), c, fx.symbols(spark, sf_dir).where("kind <> 'export'")).select("src", "dst", "rel_type")
 
 
 @query("delete_by_file", fx.SYMBOLS_SQL, fx.CALLS_SQL, "gone AS (SELECT id FROM symbols WHERE file_path LIKE 'src/models/%')", "SELECT (SELECT count(*) FROM symbols WHERE id NOT IN (SELECT id FROM gone)) AS symbols, (SELECT count(*) FROM calls WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)) AS edges")
@@ -629,17 +632,16 @@ def latency_percentiles(spark, sf_dir):
     return store.percentiles(T(spark, sf_dir, "events"), "value", "event_id")
 
 
-@query("unified_diff", "SELECT 'src/f' || l_orderkey || '.ts' AS path, CAST(l_linenumber AS INT) AS hunk_start, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE l_partkey % 9 END AS INT) AS hunk_lines FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1, 2)")
+@query("unified_diff", "SELECT 'src/f' || l_orderkey || '.ts' AS path, CAST(l_linenumber AS INT) AS hunk_start, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE l_partkey % 9 END AS INT) AS hunk_lines FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)")
 def unified_diff(spark, sf_dir):
     from codeloom.sources.gitdiff import parse_unified
 
-    x = T(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
+    x = T(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("k"))
     n, p = F.col("l_linenumber").cast("string"), (F.col("k") % 9).cast("string")
     head = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("@@ -1 +"), n, F.lit(" @@ f()"))).otherwise(F.concat(F.lit("@@ -1,2 +"), n, F.lit(","), p, F.lit(" @@")))
     files = x.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("o"), F.concat(F.lit("+++ b/src/f"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("line"))
     lines = files.union(x.select("l_orderkey", F.col("l_linenumber"), head))
-    seq = F.row_number().over(Window.orderBy("l_orderkey", "o"))
-    return parse_unified(lines.select(F.lit("d").alias("diff_id"), seq.alias("seq"), "line")).select("path", "hunk_start", "hunk_lines")
+    return parse_unified(lines.select(F.col("l_orderkey").alias("diff_id"), F.col("o").alias("seq"), "line")).select("path", "hunk_start", "hunk_lines")
 
 
 @query("graph_status", fx.SYMBOLS_SQL, fx.EDGES_SQL, "SELECT (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM edges) AS relationships, (SELECT count(DISTINCT brand) FROM symbols) AS clusters")

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import fixed, graph, text
-from codeloom.operators import relate, search, traverse
+from codeloom.operators import flows, relate, search, traverse
 from codeloom.session import cut
+from codeloom.sources import gitdiff
 
 
 def find_hotspots(symbols: DataFrame, least: int = 10, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -40,7 +41,9 @@ def impact(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
     found = traverse.reach(edges, seeds, max_depth, "up", ("calls",))
     direct = edges.groupBy("src", F.col("dst").alias("seed")).agg(F.min("rel_type").alias("rel_type")).withColumnRenamed("src", "id")
     rows = found.join(direct, ["seed", "id"], "left").withColumn("rel_type", F.coalesce("rel_type", F.lit("calls")))
-    rows = rows.join(symbols.select("id", "name", "kind", "visibility"), "id").join(relate.degrees(symbols, edges), "id")
+    ids = found.select("id").distinct()
+    near = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select(*edges.columns).unionByName(edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns))
+    rows = rows.join(symbols.select("id", "name", "kind", "visibility"), "id").join(relate.degrees(ids, near), "id")
     exported = graph.is_exported(F.col("visibility"), F.col("kind"))
     per_seed = Window.partitionBy("seed")
     return rows.select(
@@ -66,9 +69,22 @@ def symbol_context(calls: DataFrame, members: DataFrame, seeds: DataFrame, depth
     return rows if limit is None else rows.orderBy("rank", "depth", "id").limit(limit)
 
 
+def within_budget(context: DataFrame, symbols: DataFrame, tokens: int) -> DataFrame:
+    """The rows of a context whose symbols fit a budget of tokens together, the target always, nearest first.
+
+    A symbol of several sections counts once; processes are no symbols and stay.
+    """
+    lines = F.col("end_line") - F.col("start_line") + 1
+    cost = symbols.select("id", graph.tokens(F.col("name"), F.col("signature"), F.col("file_path"), lines).alias("tokens"))
+    each = context.where("section <> 'process'").groupBy("seed", "id").agg(F.min("depth").alias("depth"), F.max(F.col("section") == "target").alias("pinned"))
+    taken = flows.token_slice(each.join(cost, "id"), tokens).where("taken").select("seed", "id", "reason")
+    rows = context.where("section <> 'process'").join(taken, ["seed", "id"]).select(*context.columns, "reason")
+    return rows.unionByName(context.where("section = 'process'").withColumn("reason", F.lit("complete")))
+
+
 def data_flow_trace(symbols: DataFrame, calls: DataFrame, seeds: DataFrame, hint: str | None = None) -> DataFrame:
     """(step, id, layer, next_id, synthetic): what the seeds reach, by layer from api to model; links between steps are made up."""
-    ids = traverse.reach(calls, seeds).select("id").union(seeds.select("id")).distinct()
+    ids = traverse.reach_any(calls, seeds).select("id").union(seeds.select("id")).distinct()
     layer = graph.layer(F.col("name"), F.col("file_path"), F.col("signature"), F.lit(hint) if hint else None)
     layered = cut(symbols.join(ids, "id", "left_semi").select("id", layer.alias("layer")))  # the patterns are tried once, not for each use
     rows = layered.where("layer <> 'unknown'").withColumn("r", graph.layer_rank(F.col("layer")))
@@ -83,9 +99,13 @@ def data_flow_confidence(layers: set[str]) -> float:
 def pre_commit(symbols: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:
     """(changed, affected, risk): one row on what a change of the files reaches."""
     seeds = symbols.join(files.select("file_path").distinct(), "file_path", "left_semi").select("id")
-    reached = traverse.reach(calls, seeds, None, "up").select("id").distinct().join(seeds, "id", "left_anti")
-    named = reached.join(symbols.select("id", "name"), "id").agg(F.count("*").alias("affected"), F.coalesce(F.max(graph.is_core(F.col("name")).cast("int")), F.lit(0)).alias("core"))
-    return named.crossJoin(seeds.agg(F.count("*").alias("changed"))).select("changed", "affected", graph.risk(F.col("affected"), F.col("core") == 1).alias("risk"))
+    return _blast_radius(symbols, calls, seeds)
+
+
+def _blast_radius(symbols: DataFrame, calls: DataFrame, seeds: DataFrame) -> DataFrame:
+    reached = traverse.reach_any(calls, seeds, None, "up")  # without the seeds
+    n = reached.join(symbols.select("id", "name"), "id").agg(F.count("*").alias("affected"), F.coalesce(F.max(graph.is_core(F.col("name")).cast("int")), F.lit(0)).alias("core"))
+    return n.crossJoin(seeds.agg(F.count("*").alias("changed"))).select("changed", "affected", graph.risk(F.col("affected"), F.col("core") == 1).alias("risk"))
 
 
 def recommendations(risk: str, affected: int, flows: int, clusters: int) -> list[str]:
@@ -105,9 +125,7 @@ def detect_changes(symbols: DataFrame, calls: DataFrame, hunks: DataFrame, granu
     hit = relate.overlaps(symbols, hunks)
     if granularity == "file":
         return pre_commit(symbols, calls, hit.select("file_path").distinct())
-    reached = traverse.reach(calls, hit.select("id"), None, "up").select("id").distinct().join(hit.select("id"), "id", "left_anti")
-    n = reached.join(symbols.select("id", "name"), "id").agg(F.count("*").alias("affected"), F.coalesce(F.max(graph.is_core(F.col("name")).cast("int")), F.lit(0)).alias("core"))
-    return n.crossJoin(hit.agg(F.count("*").alias("changed"))).select("changed", "affected", graph.risk(F.col("affected"), F.col("core") == 1).alias("risk"))
+    return _blast_radius(symbols, calls, hit.select("id"))
 
 
 def verify_usage(symbols: DataFrame, calls: DataFrame, dynamic: F.Column | None = None) -> DataFrame:
@@ -234,9 +252,9 @@ def check_call(tool: str, arguments: dict) -> dict:
 class Engine:
     """A graph's tables and the tools on them, by name or from a sentence."""
 
-    def __init__(self, symbols: DataFrame, edges: DataFrame, members: DataFrame, steps: DataFrame | None = None, hunks: DataFrame | None = None, routes: DataFrame | None = None, consumers: DataFrame | None = None, embeddings: DataFrame | None = None, embed=None) -> None:
+    def __init__(self, symbols: DataFrame, edges: DataFrame, members: DataFrame, steps: DataFrame | None = None, hunks: DataFrame | None = None, routes: DataFrame | None = None, consumers: DataFrame | None = None, embeddings: DataFrame | None = None, embed=None, root: str | None = None) -> None:
         self.symbols, self.edges, self.members, self.steps = symbols, edges, members, steps
-        self.hunks, self.routes, self.consumers, self.embeddings, self.embed = hunks, routes, consumers, embeddings, embed
+        self.hunks, self.routes, self.consumers, self.embeddings, self.embed, self.root = hunks, routes, consumers, embeddings, embed, root
         self.calls = edges.where("rel_type = 'calls'")
 
     def _seed(self, value: str, by_name: bool = False) -> DataFrame:
@@ -244,11 +262,22 @@ class Engine:
             return self.symbols.where(graph.matches(F.col("id"), F.col("name"), value)).select("id")
         return search.resolve(self.symbols, value).select("id")
 
+    def _hunks(self, scope: str, base_ref: str | None) -> DataFrame:
+        """The hunks of a change: those given, or of the repository at ``root``."""
+        if self.hunks is not None:
+            return self.hunks
+        if self.root is None:
+            raise ToolError("INVALID_PARAMETER_VALUE", "no hunks and no repository")
+        if scope == "compare" and not base_ref:
+            raise ToolError("MISSING_PARAMETER", "base_ref")
+        return gitdiff.diff(self.symbols.sparkSession, self.root, scope, base_ref)
+
     def call(self, tool: str, **arguments) -> DataFrame:
         a = check_call(tool, arguments)
         s, c = self.symbols, self.calls
         if tool == "get_symbol_context":
-            return symbol_context(c, self.members, self._seed(a["symbol"]), a.get("max_depth"), self.steps)
+            rows = symbol_context(c, self.members, self._seed(a["symbol"]), a.get("max_depth"), self.steps)
+            return within_budget(rows, s, a["token_budget"]) if a.get("token_budget") else rows
         if tool == "trace_data_flow":
             return data_flow_trace(s, c, self._seed(a["entry_point"]), a.get("framework"))
         if tool == "impact_analysis":
@@ -260,7 +289,7 @@ class Engine:
         if tool == "trace":
             return trace(s, self.edges, a["from"], a["to"], a.get("max_depth"))
         if tool == "detect_changes":
-            return detect_changes(s, c, self.hunks, a.get("granularity", "file"))
+            return detect_changes(s, c, self._hunks(a.get("scope", "unstaged"), a.get("base_ref")), a.get("granularity", "file"))
         if tool == "find_dead_code":
             return find_dead_code(s, c, tuple(a.get("kinds", ())) or None, a.get("limit", 100))
         if tool == "find_hotspots":
@@ -269,13 +298,18 @@ class Engine:
             one = search.resolve(s if "file" not in a else s.where(F.col("file_path") == a["file"]), a["symbol"]).first()
             return relate.rename_plan(one.id if one else "", s, self.edges).withColumn("new_name", F.lit(a["new_name"]))
         if tool == "shape_check":
+            if self.routes is None or self.consumers is None:
+                raise ToolError("INVALID_PARAMETER_VALUE", "no routes or consumers")
             routes = self.routes if "route" not in a else self.routes.where(F.col("path") == a["route"])
             return shape_check(routes, self.consumers)
         if tool == "augment":
             return augment(s, c, a["pattern"])
+        for name in ("symbol",) if a["kind"] == "usage" else ("from", "to"):
+            if not a.get(name, "").strip():
+                raise ToolError("MISSING_PARAMETER", name)
         ends = {k: a.get(k) for k in ("from", "to")}
         if a["kind"] == "usage":
-            return verify_usage(s.where(graph.matches(F.col("id"), F.col("name"), a.get("symbol", ""))), c)
+            return verify_usage(s.where(graph.matches(F.col("id"), F.col("name"), a["symbol"])), c)
         pair = s.sparkSession.createDataFrame([(ends["from"], ends["to"])], "src string, dst string")
         return verify_edges(pair, self.edges) if a["kind"] == "edge" else verify_reachability(pair, c)
 

@@ -17,9 +17,12 @@ def session(name: str = "codeloom", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset, in a local one."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a local one, on one machine alone."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/codeloom-{uuid.uuid4().hex[:12]}"
@@ -32,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut_and_count(df: DataFrame, of: Column | None = None) -> tuple[DataFrame, int]:
     """``cut``, and how many rows (where ``of`` holds) were written, counted as they are written."""
     seen = Observation()

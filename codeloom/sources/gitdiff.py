@@ -44,8 +44,11 @@ def combine(status: DataFrame, hunks: DataFrame) -> DataFrame:
     return live.unionByName(gone).where(~graph.is_ignored(F.col("path"))).select("path", "old_path", "status", "hunk_start", "hunk_lines")
 
 
-def diff(spark: SparkSession, repository: str, scope: str = "unstaged", base: str = "HEAD") -> DataFrame:
+def diff(spark: SparkSession, repository: str, scope: str = "unstaged", base: str | None = None) -> DataFrame:
     """The working tree's changes as hunks (S14); one repository's diff is read on the driver."""
+    base = base or "HEAD"
+    if base.startswith("-"):  # else git would take it for an option
+        raise ValueError(f"not a revision: {base}")
     which = [base] if scope == "compare" else _SCOPES[scope]
     git = lambda *a: subprocess.run(["git", "-C", repository, "diff", *a, *which], capture_output=True, text=True, check=True).stdout.split("\n")
     status = spark.createDataFrame([(x,) for x in git("--name-status")], "line string")

@@ -201,3 +201,56 @@ def test_time_limits_and_phases(spark):
     with p.phase("parse") as note:
         note["rows"] = 3
     assert p.total_rows() == 3 and p.table(spark).first().phase == "parse"
+
+
+def test_traversal_inside_tasks_and_level_by_level_agree(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", "calls") for _ in range(90)] + [("a", "b", "calls"), ("b", "a", "calls"), ("a", None, "calls")]
+    edges = spark.createDataFrame(rows, "src string, dst string, rel_type string")
+    seeds = spark.createDataFrame([("n1",), ("n2",), ("a",), ("nowhere",), ("n1",)], "id string")
+    ways = {}
+    for r in rows:
+        if r[1] is not None:
+            ways.setdefault(r[0], set()).add(r[1])
+    one = {}
+    for seed in ("n1", "n2", "a", "nowhere"):
+        level, seen = {seed}, set()
+        for k in range(1, 7):
+            level = {y for x in level for y in ways.get(x, ())} - seen
+            seen |= level
+            one |= {(seed, y): k for y in level}
+    any_of = {}
+    for (_, y), k in one.items():
+        if y not in ("n1", "n2", "a", "nowhere"):
+            any_of[y] = min(k, any_of.get(y, 99))
+    for bound in (0, 1000):
+        assert {(r.seed, r.id): r.depth for r in traverse.reach(edges, seeds, 6, "down", task_edges=bound).collect()} == one
+        assert {r.id: r.depth for r in traverse.reach_any(edges, seeds, 6, "down", task_edges=bound).collect()} == any_of
+        assert traverse.reach(edges.limit(0), seeds, task_edges=bound).count() == 0 == traverse.reach_any(edges, seeds.limit(0), task_edges=bound).count()
+
+
+def test_c3_of_many_diamonds_and_deep_chains():
+    parents = {}
+    for i in range(60):
+        parents |= {f"t{i + 1}": [f"l{i}", f"r{i}"], f"l{i}": [f"t{i}"], f"r{i}": [f"t{i}"]}
+    assert len(mro.c3(parents, "t60")) == 180
+    deep = {f"c{i + 1}": [f"c{i}"] for i in range(5000)}
+    assert mro.c3(deep, "c5000")[-1] == "c0"
+    cycle = {"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x"], "v": ["o"]}
+    assert mro.c3(cycle, "x") is None and mro.c3(cycle, "w") is None and mro.c3(cycle, "v") == ["o"]
+
+
+def test_tools_say_what_is_missing(spark):
+    s = spark.createDataFrame([], schema.SYMBOLS) if hasattr(schema, "SYMBOLS") else None
+    engine = Engine(s, edges(spark, []), spark.createDataFrame([], "cluster_id string, id string"))
+    for tool, arguments, code in (
+        ("verify_claim", {"kind": "usage"}, "MISSING_PARAMETER"),
+        ("verify_claim", {"kind": "edge", "from": "a"}, "MISSING_PARAMETER"),
+        ("shape_check", {}, "INVALID_PARAMETER_VALUE"),
+        ("detect_changes", {}, "INVALID_PARAMETER_VALUE"),
+    ):
+        with pytest.raises(ToolError) as e:
+            engine.call(tool, **arguments)
+        assert e.value.code == code
