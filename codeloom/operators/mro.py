@@ -51,15 +51,22 @@ def c3(parents: dict[str, list[str]], start: str, known: dict[str, list[str] | N
 def _merge(orders: list[list[str] | None], own: list[str]) -> list[str] | None:
     if any(x is None for x in orders):
         return None
+    if len(own) < 2:
+        return [*own, *(orders[0] if own else [])]
     lists = [[p, *x] for p, x in zip(own, orders, strict=True)] + [list(own)]
+    at = [0] * len(lists)
+    behind = Counter(c for x in lists for c in x[1:])  # how many lists have a class behind their head
     out: list[str] = []
-    while lists := [x for x in lists if x]:
-        behind = Counter(c for x in lists for c in x[1:])
-        head = next((x[0] for x in lists if not behind[x[0]]), None)
+    while any(i < len(x) for i, x in zip(at, lists, strict=True)):
+        head = next((x[i] for i, x in zip(at, lists, strict=True) if i < len(x) and not behind[x[i]]), None)
         if head is None:
             return None
         out.append(head)
-        lists = [x[1:] if x[0] == head else x for x in lists]
+        for k, x in enumerate(lists):
+            if at[k] < len(x) and x[at[k]] == head:
+                at[k] += 1
+                if at[k] < len(x):
+                    behind[x[at[k]]] -= 1
     return out
 
 
