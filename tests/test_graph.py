@@ -254,3 +254,24 @@ def test_tools_say_what_is_missing(spark):
         with pytest.raises(ToolError) as e:
             engine.call(tool, **arguments)
         assert e.value.code == code
+
+
+def test_c3_is_python_s_own_order():
+    rng = random.Random(1)
+
+    def python_order(parents, name):
+        made = {}
+
+        def make(x):
+            if x not in made:
+                made[x] = type(x, tuple(make(p) for p in parents.get(x, [])) or (object,), {})
+            return made[x]
+
+        try:
+            return [k.__name__ for k in make(name).__mro__[1:-1]]
+        except TypeError:
+            return None
+
+    for _ in range(1000):
+        parents = {f"k{i}": [f"k{j}" for j in rng.sample(range(i), min(i, rng.randrange(4)))] for i in range(8)}
+        assert mro.c3(parents, "k7") == python_order(parents, "k7")
