@@ -108,18 +108,14 @@ def affected_confidence(hops: Column, rel: Column, role_: Column, exported: Colu
 
 def affected_reasons(hops: Column, rel: Column, role_: Column, callers: Column, callees: Column, exported: Column) -> Column:
     """The reasons beside it, as texts."""
-    many = lambda n, one, more: F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(more))
+    strong = rel.isin("calls", "references", "imports")
+    degrees = F.format_string("%d in, %d out", callers, callees)
     return F.array_compact(
         F.array(
-            F.when(hops <= 1, "Direct caller — breaks immediately if the target changes").otherwise(F.concat(hops.cast("string"), F.lit(" hops from the target (transitive impact)"))),
-            F.when(rel.isin("calls", "references", "imports"), F.concat(F.lit("Reached via a '"), rel, F.lit("' edge"))).otherwise(F.concat(F.lit("Reached via a structural '"), rel, F.lit("' edge (weaker signal)"))),
-            F.when((role_ == "Isolated") & exported, "Appears isolated but is exported — may be called from outside the indexed graph")
-            .when(role_ == "Isolated", "Appears isolated (no detected connections) — verify dynamic/external use")
-            .when(role_ == "EntryPoint", F.concat(F.lit("Entry point (no internal callers, "), many(callees, "downstream dependency", "downstream dependencies"), F.lit(")")))
-            .when(role_ == "Utility", F.concat(F.lit("Utility (called by "), many(callers, "node", "nodes"), F.lit(", no outgoing dependencies)")))
-            .when(role_ == "Adapter", F.format_string("Adapter — skewed connectivity (%d in / %d out) bridging layers", callers, callees))
-            .otherwise(F.format_string("Core logic — well-connected (%d callers, %d dependencies)", callers, callees)),
-            F.when(exported & (role_ != "Isolated"), "Exported — changes are visible across module boundaries"),
+            F.when(hops <= 1, "distance: calls the target itself").otherwise(F.format_string("distance: %d calls away", hops)),
+            F.concat(F.lit("edge: "), rel, F.when(strong, F.lit("")).otherwise(F.lit(", containment only"))),
+            F.concat(F.lit("role: "), role_, F.lit(", "), degrees),
+            F.when(exported, "scope: exported, may have users that are not indexed").when(role_ == "Isolated", "scope: unlinked, may be loaded by name"),
         )
     )
 
