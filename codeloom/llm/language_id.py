@@ -209,6 +209,10 @@ def train(rows: list[tuple[str, str]], vocabulary: str) -> tuple[list[str], np.n
     return langs, p
 
 
+#: Shares of the tasks whose best rows are ranked before those of all.
+_SHARES = 16
+
+
 def sample(docs: DataFrame, learn: Column, per_language: int = 200, most_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """At most ``per_language`` (text, language) rows of each language with ``most_bytes`` of its text, where ``learn`` holds.
 
@@ -222,7 +226,10 @@ def sample(docs: DataFrame, learn: Column, per_language: int = 200, most_bytes:
     known = docs.where(learn & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("y"), F.col(text_col).cast("string").alias("t"))
     order = Window.partitionBy("y").orderBy("h", "i")
     ids = known.groupBy("y", "i").agg(F.min(F.struct(F.xxhash64("t").alias("p"), F.octet_length("t").alias("n"))).alias("x")).select("y", "i", "x.p", "x.n", F.xxhash64("i", F.lit(17)).alias("h"))
-    best = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    # first the best of a few shares of the tasks: what one task then ranks does not grow with the number of tasks
+    some = ids.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(_SHARES)))
+    some = some.withColumn("r", F.row_number().over(Window.partitionBy("y", "share").orderBy("h", "i"))).where(F.col("r") <= per_language)
+    best = some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
     best = best.withColumn("held", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("held") <= most_bytes)
     chosen = known.sparkSession.createDataFrame(best.select("y", "i", "p").collect(), "y string, i string, p long")  # per_language rows a language
     picked = known.withColumn("p", F.xxhash64("t")).join(F.broadcast(chosen), ["y", "i", "p"], "left_semi").dropDuplicates(["y", "i"])
