@@ -170,3 +170,31 @@ def consecutive(steps: DataFrame, calls: DataFrame) -> DataFrame:
     w = Window.partitionBy("process_id").orderBy("step_order")
     pairs = steps.withColumn("dst", F.lead("symbol_id").over(w)).where("dst is not null").withColumnRenamed("symbol_id", "src")
     return pairs.join(calls.select("src", "dst").distinct(), ["src", "dst"]).select("process_id", "step_order", "src", "dst")
+
+
+def holding_any(groups: DataFrame, ids: DataFrame) -> DataFrame:
+    """The groups (cluster_id, ids) whose list holds any of the ids (id) (F5); lists are joined by element, so that neither side must be small."""
+    hit = groups.select("cluster_id", F.explode("ids").alias("id")).join(ids.select("id"), "id", "left_semi").select("cluster_id").distinct()
+    return groups.join(hit, "cluster_id", "left_semi")
+
+
+def routes_in_file(consumers: DataFrame, routes: DataFrame) -> DataFrame:
+    """(consumer, file_path, routes): how many routes the file of a consumer declares; where it declares none, how many there are."""
+    n = routes.groupBy("file_path").agg(F.count("*").alias("n"))
+    total = routes.agg(F.count("*").alias("total"))  # one row
+    return consumers.select("consumer", "file_path").join(n, "file_path", "left").crossJoin(F.broadcast(total)).select("consumer", "file_path", F.coalesce("n", "total").alias("routes"))
+
+
+def import_fan_out(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(edges, most): how many edges external imports make, and the most that one makes (A18); counted by file, without the edges."""
+    n = symbols.groupBy("file_path").agg(F.count("*").alias("n"))
+    each = imports.select("file_path", "package_id").distinct().join(n, "file_path")
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+
+
+def affected_groups(reached: DataFrame, members: DataFrame, steps: DataFrame) -> DataFrame:
+    """(seed, kind, group_id): clusters and processes that hold what a seed reaches (seed, id), one row of each."""
+    r = reached.select("seed", "id")
+    clusters = r.join(members.select("id", F.col("cluster_id").alias("group_id")), "id").select("seed", F.lit("cluster").alias("kind"), "group_id")
+    flows = r.join(steps.select(F.col("symbol_id").alias("id"), F.col("process_id").alias("group_id")), "id").select("seed", F.lit("process").alias("kind"), "group_id")
+    return clusters.distinct().unionByName(flows.distinct())

@@ -41,6 +41,12 @@ def delete_files(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> tupl
     return left.select(*symbols.columns), e.select(*edges.columns)
 
 
+def delete_vectors(vectors: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Vectors (id) without those of the symbols of the files (file_path)."""
+    gone = symbols.join(files.select("file_path").distinct(), "file_path", "left_semi").select("id")
+    return vectors.join(gone, "id", "left_anti").select(*vectors.columns)
+
+
 def classify_files(cached: DataFrame, found: DataFrame, parse_version: int) -> DataFrame:
     """(path, status): unchanged, changed, added or removed.
 

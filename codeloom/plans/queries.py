@@ -670,3 +670,6 @@ def ignored_paths(spark, sf_dir):
 def safe_paths(spark, sf_dir):
     paths = ["src/a.ts", "../x", "/etc/passwd", "a/b c.md", "x%2e%2e/y", "a|b"]
     return T(spark, sf_dir, "supplier").select("s_suppkey", text.is_safe_path(F.array(*map(F.lit, paths))[(F.col("s_suppkey") % 6).cast("int")]).alias("safe"))
+
+
+from codeloom.plans import queries_tables  # noqa: E402, F401  (registers more queries)

@@ -108,6 +108,21 @@ def _blast_radius(symbols: DataFrame, calls: DataFrame, seeds: DataFrame) -> Dat
     return n.crossJoin(seeds.agg(F.count("*").alias("changed"))).select("changed", "affected", graph.risk(F.col("affected"), F.col("core") == 1).alias("risk"))
 
 
+def pre_commit_report(symbols: DataFrame, calls: DataFrame, files: DataFrame, members: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """(changed, affected, risk, clusters, processes): ``pre_commit``, and how many clusters and processes hold what is changed or affected."""
+    seeds = cut(symbols.join(files.select("file_path").distinct(), "file_path", "left_semi").select("id"))
+    touched = cut(traverse.reach_any(calls, seeds, None, "up").select("id").union(seeds).distinct())
+    clusters = members.join(touched, "id", "left_semi").agg(F.count_distinct("cluster_id").alias("clusters"))
+    if steps is None:
+        flows_ = clusters.select(F.lit(0).cast("long").alias("processes"))
+    else:
+        flows_ = steps.join(touched.withColumnRenamed("id", "symbol_id"), "symbol_id", "left_semi").agg(F.count_distinct("process_id").alias("processes"))
+    affected = touched.join(seeds, "id", "left_anti").join(symbols.select("id", "name"), "id")
+    n = affected.agg(F.count("*").alias("affected"), F.coalesce(F.max(graph.is_core(F.col("name")).cast("int")), F.lit(0)).alias("core"))
+    one = n.crossJoin(seeds.agg(F.count("*").alias("changed"))).crossJoin(clusters).crossJoin(flows_)  # one row each
+    return one.select("changed", "affected", graph.risk(F.col("affected"), F.col("core") == 1).alias("risk"), "clusters", "processes")
+
+
 def recommendations(risk: str, affected: int, flows: int, clusters: int) -> list[str]:
     """What to do before a commit, by what it reaches."""
     out = []
@@ -321,7 +336,7 @@ class Engine:
             raise ToolError("INVALID_PARAMETER_VALUE", "empty query")
         if row.i == "preCommitCheck":
             files = self.symbols.sparkSession.createDataFrame([(p,) for p in row.p], "file_path string")
-            return row.i, row.c, pre_commit(self.symbols, self.calls, files)
+            return row.i, row.c, pre_commit_report(self.symbols, self.calls, files, self.members, self.steps)
         if row.i == "smartSearch":
             return row.i, row.c, self.call("smart_search", query=row.t) if self.embed is not None else augment(self.symbols, self.calls, row.t.replace(" ", "_"))
         tool, key = {"dataFlowTrace": ("trace_data_flow", "entry_point"), "impactAnalysis": ("impact_analysis", "target"), "contextRetrieval": ("get_symbol_context", "symbol")}[row.i]
