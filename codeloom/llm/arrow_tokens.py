@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.bytebpe import encoder
-from codeloom.llm.common import small_batches, written
+from codeloom.llm.common import give_back, small_batches, written
 
 _MANIFEST = "file_no long, path string, n_docs long, n_tokens long, n_rows long"
 _INDEX = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
@@ -119,6 +119,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2,
                 put(fill)
             for x in (out, index, *sink):
                 x.close()
+            give_back()
             yield pa.RecordBatch.from_pydict({"file_no": [no], "path": [f"{folder}/{own}"], "n_docs": [n_docs], "n_tokens": [n_tokens], "n_rows": [n_rows]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -34,7 +34,7 @@ def byte_of_symbol() -> dict[str, int]:
 class ByteBpe:
     """Encoder of one worker; ``keep`` bounds the pre-tokens whose ids it remembers."""
 
-    def __init__(self, path: str, keep: int = 2_000_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
