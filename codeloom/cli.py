@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("snapshot")
     a.add_argument("name", choices=sorted(TOOLS))
     a.add_argument("arguments", nargs="?", default="{}")
+    a.add_argument("--root", help="the repository of the snapshot, whose changes detect_changes reads")
     a = sub.add_parser("watch", help="index again whenever change records arrive")
     a.add_argument("root")
     a.add_argument("changes", help="a folder of JSON lines with root, path, ts")
@@ -41,9 +42,9 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def engine(spark, snapshot: str) -> Engine:
+def engine(spark, snapshot: str, root: str | None = None) -> Engine:
     t = index.load(spark, snapshot)
-    return Engine(t["symbols"], t["edges"], t["members"], t["steps"], embeddings=t["embeddings"], embed=lambda s: index.embed(spark, s))
+    return Engine(t["symbols"], t["edges"], t["members"], t["steps"], dependencies=t["dependencies"], root=root, embeddings=t["embeddings"], embed=lambda s: index.embed(spark, s))
 
 
 def answer(rows: DataFrame | None, summary: str) -> str:
@@ -70,7 +71,7 @@ def main(argv: list[str] | None = None, spark=None) -> str:
         intent, confidence, rows = engine(spark, a.snapshot).ask(a.sentence)
         out = answer(rows, f"{intent} ({confidence})")
     elif a.command == "tool":
-        out = answer(engine(spark, a.snapshot).call(a.name, **json.loads(a.arguments)), a.name)
+        out = answer(engine(spark, a.snapshot, a.root).call(a.name, **json.loads(a.arguments)), a.name)
     else:
         last: list[str] = []
 

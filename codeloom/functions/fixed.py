@@ -120,6 +120,7 @@ MAX_TRACE_DEPTH, MAX_BRANCHES = 20, 4
 SIMILAR = 0.60
 TIERS = {"same-file": 0.95, "named": 0.90, "import-scoped": 0.90, "package": 0.90, "global": 0.50}
 PRESENT, ABSENT, UNCERTAIN = 0.95, 0.80, 0.50
+DEPENDENT = 0.92
 
 # Ecosystems, roots of Go modules, headers that are no packages.
 ECOSYSTEMS = {"typescript": "npm", "javascript": "npm", "php": "composer", "python": "pip", "java": "maven", "rust": "cargo", "go": "go_modules"}

@@ -177,3 +177,10 @@ def language(path: Column) -> Column:
     """Language by extension, or null."""
     table = F.create_map(*[F.lit(x) for kv in fixed.LANGUAGE_OF_EXTENSION.items() for x in kv])
     return F.element_at(table, F.regexp_extract(F.lower(path), r"(?<=[^/])(\.[^./]*)$", 1))
+
+
+def json_strings(value: Column) -> Column:
+    """The strings of a JSON array; its other values are left out, and anything else than an array gives none."""
+    variants = F.try_variant_get(F.try_parse_json(value), "$", "array<variant>")
+    kept = F.filter(variants, lambda v: F.schema_of_variant(v) == "STRING")
+    return F.coalesce(F.transform(kept, lambda v: v.cast("string")), F.array().cast("array<string>"))

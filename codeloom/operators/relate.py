@@ -157,6 +157,31 @@ def contract_drift(routes: DataFrame, consumers: DataFrame) -> DataFrame:
     return joined.select("consumer", "path", "available", "missing", F.when(F.size("missing") > 0, "high").otherwise("low").alias("severity"))
 
 
+def union_drift(routes: DataFrame, consumers: DataFrame) -> DataFrame:
+    """(consumer, name, file_path, key, confidence): keys that a consumer reads and no route at all returns.
+
+    routes: file_path, keys; consumers: consumer, name, file_path, keys.  A consumer beside
+    several routes, or beside none where there are several, is judged with low confidence
+    (A13).  Without routes nothing is known, so nothing is reported.
+    """
+    offered = routes.select(F.explode("keys").alias("key")).distinct()
+    read = consumers.select("consumer", "name", "file_path", F.explode(F.array_distinct("keys")).alias("key"))
+    missing = read.join(offered, "key", "left_anti")
+    beside = routes_in_file(consumers, routes)
+    level = F.when(F.col("routes") > 1, "low").otherwise("high")
+    return missing.join(beside.select("consumer", "routes"), "consumer").where("routes > 0").select("consumer", "name", "file_path", "key", level.alias("confidence"))
+
+
+def result_edges(dependents: DataFrame, changed: DataFrame, limit: int) -> DataFrame:
+    """(src, dst, rel_type): every dependent with every changed symbol, the first ``limit`` by their ids.
+
+    The limit is the answer's size; no more of either side than it can take part, so the
+    product is of two bounded sides.
+    """
+    first = lambda df, name: df.select(F.col("id").alias(name)).distinct().orderBy(name).limit(limit)
+    return first(dependents, "src").crossJoin(first(changed, "dst")).orderBy("src", "dst").limit(limit).withColumn("rel_type", F.lit("calls"))
+
+
 def rename_plan(target: str, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Edits for renaming the symbol with an id: its definition, then places that name it."""
     one = symbols.where(F.col("id") == target).select("id", "file_path", "start_line", F.lit("definition").alias("reason"), F.lit("high").alias("confidence"))

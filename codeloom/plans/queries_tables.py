@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import graph, text
-from codeloom.operators import cluster, relate, store, traverse
+from codeloom.operators import cluster, mro, relate, store, traverse
 from codeloom.plans import fixtures as fx
 from codeloom.plans.queries import T, _CORE, _reach_sql, query
 from codeloom.session import shared_folder
@@ -205,3 +205,104 @@ def embedding_texts(spark, sf_dir):
     modifiers = F.when(F.col("seq") % 2 == 0, F.array(F.lit("static"), F.lit("async")))
     t = text.symbol_text(F.col("kind"), F.col("name"), F.col("file_path"), F.col("signature"), F.lit(""), F.col("visibility"), modifiers)
     return fx.symbols(spark, sf_dir).select("id", t.alias("text"))
+
+
+@query(
+    "json_strings", fx.SYMBOLS_SQL,
+    "SELECT id, CASE seq % 5 WHEN 0 THEN name || ',x y' WHEN 1 THEN 'a' ELSE '' END AS keys FROM symbols",
+)
+def json_strings(spark, sf_dir):
+    """Lists written as JSON: whole ones, ones with other values, other JSON, broken JSON and none."""
+    k, n = F.col("seq") % 5, F.col("name")
+    j = F.when(k == 0, F.concat(F.lit('["'), n, F.lit('", "x y"]'))).when(k == 1, '[1, "a", null, {"b": "c"}]').when(k == 2, F.concat(F.lit('{"a": "'), n, F.lit('"}'))).when(k == 3, F.concat(F.lit('["'), n))
+    return fx.symbols(spark, sf_dir).select("id", F.array_join(graph.json_strings(j), ",").alias("keys"))
+
+
+@query("plain_paths", fx.SYMBOLS_SQL, "SELECT id, CASE seq % 4 WHEN 0 THEN 'src/b/' || name WHEN 1 THEN '../' || name WHEN 2 THEN name ELSE file_path END AS path FROM symbols")
+def plain_paths(spark, sf_dir):
+    """Paths as imports write them, with dots, double dots and empty parts."""
+    from codeloom.plans.index import plain_path
+
+    k, n = F.col("seq") % 4, F.col("name")
+    p = F.when(k == 0, F.concat(F.lit("src/./a/x/../../b//"), n)).when(k == 1, F.concat(F.lit("a/../../"), n)).when(k == 2, F.concat(F.lit("a/b/c/../../../"), n)).otherwise(F.col("file_path"))
+    return fx.symbols(spark, sf_dir).select("id", plain_path(p).alias("path"))
+
+
+@query(
+    "shape_drift_union", fx.SYMBOLS_SQL,
+    "routes AS (SELECT file_path, 'k' || (seq % 7) AS key FROM symbols WHERE kind = 'function' AND cyclomatic > 25)", "reads AS (SELECT id, name, file_path, unnest(['k' || (seq % 7), 'k' || (seq % 13)]) AS key FROM symbols WHERE kind = 'class')",
+    "SELECT DISTINCT id AS consumer, name, file_path, key, CASE WHEN coalesce(nullif((SELECT count(*) FROM routes r WHERE r.file_path = d.file_path), 0), (SELECT count(*) FROM routes)) > 1 THEN 'low' ELSE 'high' END AS confidence FROM reads d WHERE key NOT IN (SELECT key FROM routes) AND EXISTS (SELECT 1 FROM routes)",
+)
+def shape_drift_union(spark, sf_dir):
+    s, key = fx.symbols(spark, sf_dir), lambda n: F.concat(F.lit("k"), (F.col("seq") % n).cast("string"))
+    routes = s.where("kind = 'function' and cyclomatic > 25").select("file_path", F.array(key(7)).alias("keys"))
+    consumers = s.where("kind = 'class'").select(F.col("id").alias("consumer"), "name", "file_path", F.array(key(7), key(13)).alias("keys"))
+    return relate.union_drift(routes, consumers)
+
+
+@query(
+    "precommit_edges", fx.SYMBOLS_SQL, fx.CALLS_SQL, "seeds AS (SELECT id FROM symbols WHERE brand = 'Brand#3')", _reach_sql("calls", 20, True),
+    "SELECT src, dst, 'calls' AS rel_type FROM (SELECT DISTINCT id AS src FROM reach WHERE id NOT IN (SELECT id FROM seeds)) CROSS JOIN (SELECT id AS dst FROM seeds) ORDER BY src, dst LIMIT 100",
+)
+def precommit_edges(spark, sf_dir):
+    """What a change of a brand's files reaches, with what changed: an answer's first 100 relations."""
+    from codeloom.plans.tools import pre_commit_edges
+
+    s = fx.symbols(spark, sf_dir)
+    return pre_commit_edges(s.where("brand = 'Brand#3'").unionByName(s.where("brand <> 'Brand#3'").withColumn("file_path", F.lit("other"))), fx.calls(spark, sf_dir), s.where("brand = 'Brand#3'").select("file_path"))
+
+
+_DEPENDS = "uses AS (SELECT DISTINCT s.id, 'ext:' || l_suppkey AS dst FROM lineitem JOIN symbols s ON s.id = 'p' || l_partkey WHERE l_linenumber = 1)"
+
+
+@query(
+    "impact_dependency", fx.SYMBOLS_SQL, _DEPENDS, "hit AS (SELECT 'ext:' || s_suppkey AS dst FROM supplier WHERE contains(lower(s_name), 'supplier000000007') OR contains(lower(replace(s_name, '#', '')), 'supplier000000007') ORDER BY length(s_name), 1 LIMIT 1)",
+    "found AS (SELECT u.id, name FROM uses u JOIN hit USING (dst) JOIN symbols s ON s.id = u.id)",
+    "SELECT id, name, 1 AS depth, 'dependsOn' AS rel_type, CASE WHEN (SELECT " + _CORE + " FROM found s) THEN 'critical' WHEN (SELECT count(*) FROM found) >= 11 THEN 'high' WHEN (SELECT count(*) FROM found) >= 3 THEN 'medium' ELSE 'low' END AS risk FROM found",
+)
+def impact_dependency(spark, sf_dir):
+    """Who is affected by a package that one of its aliases names, no symbol having that name."""
+    from codeloom.plans.tools import Engine
+
+    s = fx.symbols(spark, sf_dir)
+    x = T(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("ext:"), F.col("l_suppkey").cast("string")).alias("dst"), F.lit("dependsOn").alias("rel_type"))
+    e = Engine(s, fx.calls(spark, sf_dir).unionByName(x), fx.members(spark, sf_dir), dependencies=fx.dependencies(spark, sf_dir))
+    return e.call("impact_analysis", target="supplier000000007").select("id", "name", "depth", "rel_type", "risk")
+
+
+#: Parts of a brand as a hierarchy: the parent of the n-th is the n/2-th; a class has one method, of three names and two counts of parameters.
+_TREE = """
+own AS (SELECT id, brand, row_number() OVER (PARTITION BY brand ORDER BY seq) AS n, 'm' || (seq % 3) AS name, CAST(seq % 2 AS INT) AS params, seq FROM symbols),
+up AS (SELECT a.id AS class, b.id AS ancestor, b.n, b.brand, 0 AS position FROM own a JOIN own b ON b.brand = a.brand AND b.n = a.n // 2 UNION ALL SELECT class, b.id, b.n, b.brand, position + 1 FROM up JOIN own b ON b.brand = up.brand AND b.n = up.n // 2)"""
+
+
+def _tree(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("brand").orderBy("seq"))
+    own = fx.symbols(spark, sf_dir).select("id", "brand", "seq", n.alias("n"), F.concat(F.lit("m"), (F.col("seq") % 3).cast("string")).alias("name"), (F.col("seq") % 2).cast("int").alias("params"))
+    above = own.select("brand", F.col("n").alias("half"), F.col("id").alias("parent"))
+    heritage = own.withColumn("half", F.expr("n div 2")).join(above, ["brand", "half"]).select(F.col("id").alias("child"), "parent", F.lit(0).alias("seq"))
+    methods = own.select(F.concat("id", F.lit("."), "name").alias("id"), F.col("id").alias("owner"), "name", "params", F.lit(False).alias("abstract"), F.lit("class").alias("owner_kind"))
+    return own, heritage, methods
+
+
+@query("mro_of_trees", fx.SYMBOLS_SQL, _TREE, "SELECT class, position, ancestor, true AS consistent FROM up")
+def mro_of_trees(spark, sf_dir):
+    return mro.linearise(_tree(spark, sf_dir)[1])
+
+
+@query("overrides_of_trees", fx.SYMBOLS_SQL, _TREE, "SELECT src, dst, 'overrides' AS rel_type FROM (SELECT a.id || '.' || a.name AS src, b.id || '.' || b.name AS dst, row_number() OVER (PARTITION BY a.id ORDER BY position) AS r FROM own a JOIN up ON class = a.id JOIN own b ON b.id = ancestor AND b.name = a.name AND b.params = a.params) WHERE r = 1")
+def overrides_of_trees(spark, sf_dir):
+    _, heritage, methods = _tree(spark, sf_dir)
+    return mro.overrides(mro.linearise(heritage), methods)
+
+
+@query(
+    "member_calls_of_trees", fx.SYMBOLS_SQL, _TREE,
+    "SELECT call_id, id FROM (SELECT a.seq AS call_id, b.id || '.' || b.name AS id, row_number() OVER (PARTITION BY a.seq ORDER BY position) AS r FROM own a JOIN (SELECT id AS class, id AS ancestor, -1 AS position FROM own UNION ALL SELECT class, ancestor, position FROM up) u ON u.class = a.id JOIN own b ON b.id = u.ancestor AND b.name = 'm' || (a.seq * 5 % 3)) WHERE r = 1",
+)
+def member_calls_of_trees(spark, sf_dir):
+    own, heritage, methods = _tree(spark, sf_dir)
+    asked = own.select(F.col("seq").alias("call_id"), F.col("id").alias("receiver_class"), F.concat(F.lit("m"), (F.col("seq") * 5 % 3).cast("string")).alias("name"))
+    return mro.member_calls(asked, mro.linearise(heritage), methods)

@@ -54,6 +54,27 @@ def impact(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
     )
 
 
+def impact_of_dependency(symbols: DataFrame, edges: DataFrame, dependencies: DataFrame, value: str) -> DataFrame:
+    """The columns of ``impact`` for the external dependency that a name or alias means: the symbols that depend on it."""
+    seed = search.dependency_by_alias(dependencies, value).select(F.col("id").alias("seed"))
+    users = edges.where("rel_type = 'dependsOn'").join(seed, F.col("dst") == F.col("seed")).select("seed", F.col("src").alias("id")).distinct()
+    rows = users.join(symbols.select("id", "name"), "id").join(relate.degrees(users.select("id").distinct(), edges), "id")
+    n = rows.groupBy("seed").agg(F.count("*").alias("n"), (F.max(graph.is_core(F.col("name")).cast("int")) == 1).alias("core"))
+    return rows.join(n, "seed").select(
+        "seed", "id", "name", F.lit(1).alias("depth"), F.lit(1).alias("hop_bucket"), F.lit("dependsOn").alias("rel_type"), "role",
+        F.lit(fixed.DEPENDENT).alias("confidence"), F.array(F.lit("edge: dependsOn, its file imports the package")).alias("reasons"), graph.risk(F.col("n"), F.col("core")).alias("risk"),
+    )
+
+
+def impact_groups(found: DataFrame, seeds: DataFrame, members: DataFrame, steps: DataFrame | None) -> DataFrame:
+    """(kind, group_id, of): the clusters and processes of the target itself and of what its change reaches, one row of each."""
+    touched = found.select("id", F.lit("affected").alias("of")).union(seeds.select("id", F.lit("target")))
+    rows = touched.join(members.select("id", F.col("cluster_id").alias("group_id")), "id").select(F.lit("cluster").alias("kind"), "group_id", "of")
+    if steps is not None:
+        rows = rows.unionByName(touched.join(steps.select(F.col("symbol_id").alias("id"), F.col("process_id").alias("group_id")), "id").select(F.lit("process").alias("kind"), "group_id", "of"))
+    return rows.groupBy("kind", "group_id").agg(F.max("of").alias("of"))
+
+
 def symbol_context(calls: DataFrame, members: DataFrame, seeds: DataFrame, depth: int | None = None, steps: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(seed, section, rank, id, depth): the target, its callers, its callees, who shares its clusters and its processes."""
     one = lambda df, name, rank: df.select("seed", F.lit(name).alias("section"), F.lit(rank).alias("rank"), "id", "depth")
@@ -108,6 +129,12 @@ def _blast_radius(symbols: DataFrame, calls: DataFrame, seeds: DataFrame) -> Dat
     return n.crossJoin(seeds.agg(F.count("*").alias("changed"))).select("changed", "affected", graph.risk(F.col("affected"), F.col("core") == 1).alias("risk"))
 
 
+def pre_commit_edges(symbols: DataFrame, calls: DataFrame, files: DataFrame, limit: int = 100) -> DataFrame:
+    """(src, dst, rel_type) of the symbols that a change of the files reaches with those of the files, at most ``limit``."""
+    seeds = cut(symbols.join(files.select("file_path").distinct(), "file_path", "left_semi").select("id"))
+    return relate.result_edges(traverse.reach_any(calls, seeds, None, "up"), seeds, limit)
+
+
 def pre_commit_report(symbols: DataFrame, calls: DataFrame, files: DataFrame, members: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """(changed, affected, risk, clusters, processes): ``pre_commit``, and how many clusters and processes hold what is changed or affected."""
     seeds = cut(symbols.join(files.select("file_path").distinct(), "file_path", "left_semi").select("id"))
@@ -123,6 +150,12 @@ def pre_commit_report(symbols: DataFrame, calls: DataFrame, files: DataFrame, me
     return one.select("changed", "affected", graph.risk(F.col("affected"), F.col("core") == 1).alias("risk"), "clusters", "processes")
 
 
+def pre_commit_answer(report: DataFrame) -> tuple[str, list[str]]:
+    """(risk, recommendations) of a ``pre_commit_report``, one row."""
+    r = report.first()
+    return r.risk, recommendations(r.risk, r.affected, r.processes, r.clusters)
+
+
 def recommendations(risk: str, affected: int, flows: int, clusters: int) -> list[str]:
     """What to do before a commit, by what it reaches."""
     out = []
@@ -204,6 +237,13 @@ def shape_check(routes: DataFrame, consumers: DataFrame) -> DataFrame:
     return relate.contract_drift(routes, consumers)
 
 
+def shape_drift(symbols: DataFrame) -> DataFrame:
+    """(consumer, name, file_path, key, confidence) over an indexed graph: symbols that answer with keys are its routes, those that read keys its consumers."""
+    routes = symbols.where(F.size("response_keys") > 0).select("file_path", F.col("response_keys").alias("keys"))
+    consumers = symbols.where(F.size("accessed_keys") > 0).select(F.col("id").alias("consumer"), "name", "file_path", F.col("accessed_keys").alias("keys"))
+    return relate.union_drift(routes, consumers)
+
+
 def status(symbols: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
     """One row of counts (A1)."""
     n = lambda df, name, c="*": df.agg((F.count("*") if c == "*" else F.count_distinct(c)).alias(name))
@@ -267,11 +307,23 @@ def check_call(tool: str, arguments: dict) -> dict:
 class Engine:
     """A graph's tables and the tools on them, by name or from a sentence."""
 
-    def __init__(self, symbols: DataFrame, edges: DataFrame, members: DataFrame, steps: DataFrame | None = None, hunks: DataFrame | None = None, routes: DataFrame | None = None, consumers: DataFrame | None = None, embeddings: DataFrame | None = None, embed=None, root: str | None = None) -> None:
+    def __init__(self, symbols: DataFrame, edges: DataFrame, members: DataFrame, steps: DataFrame | None = None, hunks: DataFrame | None = None, routes: DataFrame | None = None, consumers: DataFrame | None = None, embeddings: DataFrame | None = None, embed=None, root: str | None = None, dependencies: DataFrame | None = None) -> None:
         self.symbols, self.edges, self.members, self.steps = symbols, edges, members, steps
         self.hunks, self.routes, self.consumers, self.embeddings, self.embed, self.root = hunks, routes, consumers, embeddings, embed, root
+        self.dependencies = dependencies
         self.calls = edges.where("rel_type = 'calls'")
 
+    def _impact(self, target: str, max_depth: int | None) -> DataFrame:
+        """A symbol of just this id or name first, then a dependency by alias, then a symbol whose name holds it."""
+        if self.dependencies is not None and self._seed(target, True).isEmpty() and not search.dependency_by_alias(self.dependencies, target).isEmpty():
+            return impact_of_dependency(self.symbols, self.edges, self.dependencies, target)
+        return impact(self.symbols, self.edges, self._seed(target), max_depth)
+
+    def affected_groups(self, target: str, max_depth: int | None = None) -> DataFrame:
+        """(kind, group_id, of) beside ``impact_analysis`` of a target."""
+        found = cut(self._impact(target, max_depth).select("seed", "id"))
+        return impact_groups(found, self._seed(target), self.members, self.steps)
+
     def _seed(self, value: str, by_name: bool = False) -> DataFrame:
         if by_name:
             return self.symbols.where(graph.matches(F.col("id"), F.col("name"), value)).select("id")
@@ -296,7 +348,7 @@ class Engine:
         if tool == "trace_data_flow":
             return data_flow_trace(s, c, self._seed(a["entry_point"]), a.get("framework"))
         if tool == "impact_analysis":
-            return impact(s, self.edges, self._seed(a["target"]), a.get("max_depth"))
+            return self._impact(a["target"], a.get("max_depth"))
         if tool == "smart_search":
             if self.embeddings is None or self.embed is None:
                 raise ToolError("INVALID_PARAMETER_VALUE", "no embeddings")
@@ -314,7 +366,9 @@ class Engine:
             return relate.rename_plan(one.id if one else "", s, self.edges).withColumn("new_name", F.lit(a["new_name"]))
         if tool == "shape_check":
             if self.routes is None or self.consumers is None:
-                raise ToolError("INVALID_PARAMETER_VALUE", "no routes or consumers")
+                if not {"response_keys", "accessed_keys"} <= set(s.columns) or s.where("size(response_keys) > 0 or size(accessed_keys) > 0").isEmpty():
+                    raise ToolError("INVALID_PARAMETER_VALUE", "no routes or consumers")
+                return shape_drift(s) if "route" not in a else self._impact(a["route"], None).withColumn("mismatches", F.lit(shape_drift(s).count()))
             routes = self.routes if "route" not in a else self.routes.where(F.col("path") == a["route"])
             return shape_check(routes, self.consumers)
         if tool == "augment":

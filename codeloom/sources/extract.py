@@ -1,8 +1,10 @@
 """Symbols and hints from source files.
 
 Python files go through the standard parser; files of other languages through patterns
-on their lines, which find definitions, imports, calls, heritage and member calls.  A
-file that can't be read gives a diagnostic and no symbols.  Lines count from 1.
+on their lines, from which strings and comments are blanked first, and which find
+definitions, imports, calls, heritage and member calls.  A file that can't be parsed gives
+a diagnostic; where nothing was found in a file, plain definitions are looked for by their
+keywords (``fallback_rows``).  Lines count from 1.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from codeloom.operators.relate import ordinal
 ROW = (
     "what string, name string, kind string, file_path string, start_line int, start_column int, end_line int, end_column int, signature string, documentation string, "
     "visibility string, modifiers array<string>, return_type string, parameter_count int, owner string, cyclomatic int, cognitive int, max_loop_depth int, "
-    "receiver string, language string, status string, seq long"
+    "receiver string, language string, status string, response_keys array<string>, seq long"
 )
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension)
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
@@ -86,12 +88,78 @@ _CALL = re.compile(rf"(?:(?P<rec>[\w$.()]+?)(?:\.|->|::))?(?P<name>{_NAME})\s*\(
 _NO_CALL = set("if for while switch catch return function def func fn class new sizeof typeof await super constructor elif when match print".split())
 _DECISION = re.compile(r"\b(?:if|for|foreach|while|case|catch|elif|elsif|guard|unless)\b|&&|\|\||\?\?|\?(?![.:?])")
 _LOOP = re.compile(r"\b(?:for|foreach|while|loop)\b")
+#: Comments and strings by family of languages; a match never starts inside another.
+_TEXTS = {
+    "hash": re.compile(r"""#[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""),
+    "rust": re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\\n])'""", re.S),
+    "php": re.compile(r"""//[^\n]*|#(?!\[)[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", re.S),
+    "slash": re.compile(r"""//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""", re.S),
+}
+_ANY_DEFINITION = re.compile(rf"^[ \t]*(?:[\w@]+[ \t]+){{0,4}}?(?P<word>class|struct|enum|record|object|interface|trait|protocol|module|namespace|function|func|fun|fn|def|sub|type)[ \t]+(?P<name>{_NAME})", re.M)
+_ANY_KIND = {"interface": "interface", "trait": "interface", "protocol": "interface", "module": "module", "namespace": "module", "type": "type"} | dict.fromkeys(("class", "struct", "enum", "record", "object"), "class")
 
 
 def _row(**x) -> dict:
     base = dict.fromkeys(("what", "name", "kind", "file_path", "signature", "documentation", "visibility", "return_type", "owner", "receiver", "language", "status"))
     base |= dict.fromkeys(("start_line", "start_column", "end_line", "end_column", "parameter_count", "cyclomatic", "cognitive", "max_loop_depth"))
-    return base | {"modifiers": [], "status": "ok"} | x
+    return base | {"modifiers": [], "response_keys": [], "status": "ok"} | x
+
+
+def masked(source: str, language: str) -> str:
+    """The source with what its comments and strings say blanked; lines and columns stay."""
+    texts = _TEXTS["hash" if language in ("python", "ruby") else language if language in _TEXTS else "slash"]
+
+    def blank(m: re.Match) -> str:
+        own = m[0]
+        if own[0] in "\"'`" and len(own) > 1:
+            return own[0] + re.sub(r"[^\n]", " ", own[1:-1]) + own[-1]
+        return re.sub(r"[^\n]", " ", own)
+
+    return texts.sub(blank, source)
+
+
+def fallback_rows(path: str, source: str, language: str) -> Iterator[dict]:
+    """Definitions by their keyword alone, for a file that gave no symbol (S8): public, of one line, without hints."""
+    for m in _ANY_DEFINITION.finditer(masked(source, language)):
+        line = source.count("\n", 0, m.start("name")) + 1
+        start = m.start("name") - source.rfind("\n", 0, m.start("name")) - 1
+        here = {"start_line": line, "start_column": start, "end_line": line, "end_column": start + len(m["name"])}
+        yield _row(what="symbol", kind=_ANY_KIND.get(m["word"], "function"), name=m["name"], visibility="public", cyclomatic=1, cognitive=0, max_loop_depth=0, file_path=path, language=language, **here)
+
+
+def object_keys(source: str, plain: str, at: int) -> list[str]:
+    """The keys of the object literal whose brace is at a place: of its own level, without spreads and methods.
+
+    ``plain`` is the masked source, in which braces and commas of strings don't count.
+    """
+    depth, start, keys = 0, at + 1, []
+    for i in range(at, len(plain)):
+        c = plain[i]
+        depth += (c in "{[(") - (c in "}])")
+        if depth == 0 or depth == 1 and c == ",":
+            if m := re.match(rf"""\s*(?:(?P<q>['"`])(?P<quoted>.*?)(?P=q)\s*:|(?P<key>{_NAME}|\d+)\s*(?::|$))""", source[start:i]):
+                keys.append(m["quoted"] or m["key"])
+            start = i + 1
+        if depth == 0:
+            break
+    return [k for k in dict.fromkeys(keys) if k]
+
+
+def body_keys(source: str, plain: str) -> list[str]:
+    """Distinct keys of the object literals that a body returns or sends by json or send."""
+    found = [object_keys(source, plain, m.end() - 1) for m in re.finditer(r"(?:\breturn\s*\(?\s*|\.(?:json|send)\(\s*)\{", plain)]
+    return list(dict.fromkeys(k for keys in found for k in keys))
+
+
+def _returned_keys(node: ast.AST) -> list[str]:
+    """Distinct constant keys of the dictionaries that a Python function returns, or returns as an argument of a call."""
+    keys: list[str] = []
+    for r in ast.walk(node):
+        if isinstance(r, ast.Return) and r.value is not None:
+            for d in [r.value, *(r.value.args if isinstance(r.value, ast.Call) else [])]:
+                if isinstance(d, ast.Dict):
+                    keys += [k.value for k in d.keys if isinstance(k, ast.Constant) and isinstance(k.value, str)]
+    return list(dict.fromkeys(keys))
 
 
 def python_complexity(node: ast.AST) -> tuple[int, int, int]:
@@ -145,7 +213,7 @@ def python_rows(path: str, source: str) -> Iterator[dict]:
                 n = len([*a.posonlyargs, *a.args, *a.kwonlyargs]) - (1 if owner and not inside and a.args and a.args[0].arg in ("self", "cls") else 0)
                 m = python_complexity(c)
                 mods = [x for x, y in (("async", isinstance(c, ast.AsyncFunctionDef)), ("static", any(ast.unparse(d) == "staticmethod" for d in c.decorator_list)), ("abstract", any("abstractmethod" in ast.unparse(d) for d in c.decorator_list))) if y]
-                yield _row(what="symbol", kind="method" if owner and not inside else "function", name=c.name, documentation=ast.get_docstring(c), visibility=visibility(c.name), owner=owner, modifiers=mods, parameter_count=n, return_type=ast.unparse(c.returns) if c.returns else None, signature=f"{c.name}({ast.unparse(a)})" + (f" -> {ast.unparse(c.returns)}" if c.returns else ""), cyclomatic=m[0], cognitive=m[1], max_loop_depth=m[2], **here, **common)
+                yield _row(what="symbol", kind="method" if owner and not inside else "function", name=c.name, documentation=ast.get_docstring(c), visibility=visibility(c.name), owner=owner, modifiers=mods, parameter_count=n, return_type=ast.unparse(c.returns) if c.returns else None, signature=f"{c.name}({ast.unparse(a)})" + (f" -> {ast.unparse(c.returns)}" if c.returns else ""), cyclomatic=m[0], cognitive=m[1], max_loop_depth=m[2], response_keys=_returned_keys(c), **here, **common)
                 yield from visit(c, owner, True)
             else:
                 if isinstance(c, (ast.Import, ast.ImportFrom)):
@@ -180,12 +248,10 @@ def _block_end(lines: list[str], at: int, language: str) -> int:
 
 
 def pattern_rows(path: str, source: str, language: str) -> Iterator[dict]:
-    lines = source.split("\n")
+    written, lines = source.split("\n"), masked(source, language).split("\n")
     common = {"file_path": path, "language": language}
     owners: list[tuple[int, str]] = []
     for i, line in enumerate(lines):
-        if re.match(r"^\s*(//|#(?!\s*include)|\*|/\*)", line):
-            continue
         while owners and owners[-1][0] < i:
             owners.pop()
         owner = owners[-1][1] if owners else None
@@ -195,14 +261,14 @@ def pattern_rows(path: str, source: str, language: str) -> Iterator[dict]:
             if m and m["name"] not in _NO_CALL and not (kind == "method" and not owner and language != "go" and language != "ruby"):
                 hit = m
                 g = m.groupdict()
-                end = _block_end(lines, i, language)
+                end = i if kind == "variable" and "{" not in line else _block_end(lines, i, language)
                 body = "\n".join(lines[i : end + 1])
                 mods = (g.get("mods") or "").split()
                 shown = "public" if language == "go" and m["name"][0].isupper() else "private" if language == "go" else "private" if "private" in mods or (language == "rust" and not mods) else "protected" if "protected" in mods else "public"
                 params = g.get("params")
                 loops = [len(x) - len(x.lstrip()) for x in body.split("\n")[1:] if _LOOP.search(x)]
                 decisions = len(_DECISION.findall(body)) if params is not None else 0
-                yield _row(what="symbol", kind=kind, name=m["name"], start_line=i + 1, start_column=m.start("name"), end_line=end + 1, end_column=len(lines[end]), signature=line.strip().rstrip("{").strip(), visibility=shown, modifiers=[x for x in mods if x in ("static", "async", "abstract", "readonly", "export")], owner=owner, parameter_count=None if params is None else len([x for x in params.strip("()").split(",") if x.strip()]), return_type=(g.get("ret") or "").strip(" :->") or None, cyclomatic=1 + decisions, cognitive=decisions, max_loop_depth=len(set(loops)), **common)
+                yield _row(what="symbol", kind=kind, name=m["name"], start_line=i + 1, start_column=m.start("name"), end_line=end + 1, end_column=len(lines[end]), signature=written[i].strip().rstrip("{").strip(), visibility=shown, modifiers=[x for x in mods if x in ("static", "async", "abstract", "readonly", "export")], owner=owner, parameter_count=None if params is None else len([x for x in params.strip("()").split(",") if x.strip()]), return_type=(written[i][slice(*m.span("ret"))] if g.get("ret") else "").strip(" :->") or None, cyclomatic=1 + decisions, cognitive=decisions, max_loop_depth=len(set(loops)), response_keys=body_keys("\n".join(written[i : end + 1]), body) if params is not None and language in ("typescript", "javascript") else [], **common)
                 for word, names in re.findall(r"\b(extends|implements)\s+([\w\s,.<>]+?)(?=\bimplements\b|$)", (g.get("bases") or "").strip()) or ([("extends", (g.get("bases") or "").strip(" :<"))] if language in ("csharp", "cpp", "swift", "ruby") and (g.get("bases") or "").strip(" :<") else []):
                     for x in names.split(","):
                         if x.strip():
@@ -210,24 +276,31 @@ def pattern_rows(path: str, source: str, language: str) -> Iterator[dict]:
                 if kind in ("class", "interface"):
                     owners.append((end, m["name"]))
                 break
-        for m in re.finditer(_IMPORTS.get(language, r"(?!)"), line):
+        for m in re.finditer(_IMPORTS.get(language, r"(?!)"), written[i]):
+            if not line[max(m.start(1) - 1, 0) : m.end(1) + 1].strip():
+                continue  # inside a comment
             yield _row(what="hint", kind="import", name=m[1], start_line=i + 1, **common)
         for m in _CALL.finditer(line):
             if m["name"] not in _NO_CALL and not (hit and hit["name"] == m["name"] and m.start("name") == hit.start("name")) and "import" not in line[:7]:
                 yield _row(what="hint", kind="call", name=m["name"], receiver=m["rec"], start_line=i + 1, **common)
-        for m in re.finditer(rf"({_NAME})\[['\"](\w+)['\"]\]", line):
+        for m in re.finditer(rf"({_NAME})\[['\"](\w+)['\"]\]", written[i]):
+            if line[m.start()] == " ":
+                continue  # inside a comment or a string
             yield _row(what="hint", kind="access", name=m[2], receiver=m[1], start_line=i + 1, **common)
 
 
 def file_rows(path: str, source: str | None, language: str) -> list[dict]:
-    """All rows of a file; one row with a status if it can't be parsed."""
+    """All rows of a file; a row with a status first, if it can't be parsed (S7, S12), and what its keywords tell if nothing else does."""
+    source, broken = source or "", []
     try:
-        rows = list(python_rows(path, source or "") if language == "python" else pattern_rows(path, source or "", language))
+        rows = list(python_rows(path, source) if language == "python" else pattern_rows(path, source, language))
     except (SyntaxError, ValueError, RecursionError) as e:
         line = getattr(e, "lineno", None) or 1
-        around = "\n".join((source or "").split("\n")[max(0, line - 2) : line + 1])
-        return [_row(what="diagnostic", file_path=path, language=language, status=f"parse_error: {e}", start_line=line, documentation=around, seq=0)]
-    return [r | {"seq": i} for i, r in enumerate(rows)]
+        around = "\n".join(source.split("\n")[max(0, line - 2) : line + 1])
+        rows, broken = [], [_row(what="diagnostic", file_path=path, language=language, status=f"parse_error: {e}", start_line=line, documentation=around)]
+    if not any(r["what"] == "symbol" for r in rows):
+        rows += fallback_rows(path, source, language)
+    return [r | {"seq": i} for i, r in enumerate(broken + rows)]
 
 
 def extract(files: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +27,47 @@ RULES = (
     ("magento2", ("xml", "php"), "event", r"<event\s+(name)=\"([^\"]+)\"", 0, 2),
     ("magento2", ("xml", "php"), "preference", r"<preference\s+(for)=\"([^\"]+)\"", 0, 2),
 )
+#: What a class puts before the routes of its methods: (framework, languages, pattern with the path as its group).
+PREFIXES = (
+    ("nestjs", ("typescript",), rf"@Controller\(\s*{_Q}([^'\"`)]*){_Q}\s*\)"),
+    ("spring", ("java",), r"@RequestMapping\(\s*(?:(?:value|path)\s*=\s*)?\"([^\"]*)\"[^)]*\)(?=\s*(?:@\w+(?:\([^)]*\))?\s*)*(?:\w+\s+)*class\b)"),
+)
+_RULES = [(f, languages, what, re.compile(p), method, value) for f, languages, what, p, method, value in RULES]
+_PREFIXES = [(f, languages, re.compile(p)) for f, languages, p in PREFIXES]
+DECLARED = "path string, framework string, what string, method string, name string, line int"
+
+
+def joined_path(prefix: str, path: str) -> str:
+    return "/" + "/".join(x.strip("/") for x in (prefix, path) if x.strip("/"))
+
+
+def file_declarations(path: str, content: str, language: str) -> Iterator[tuple[str, str, str, str, str, int]]:
+    """(path, framework, what, method, name, line) of one file; the routes of a class start with the class's own path."""
+    feeds = [i for i, c in enumerate(content) if c == "\n"]
+    before = {f: [(m.start(), m[1]) for m in p.finditer(content)] for f, languages, p in _PREFIXES if language in languages}
+    for framework, languages, what, pattern, method, value in _RULES:
+        if language not in languages:
+            continue
+        own = before.get(framework, [])
+        places = [at for at, _ in own]
+        for m in pattern.finditer(content):
+            if what == "route" and framework == "spring" and m.start() in places:
+                continue  # a class's path is no route
+            k = bisect_right(places, m.start())
+            name = joined_path(own[k - 1][1], m[value]) if what == "route" and k else m[value]
+            yield path, framework, what, m[method].upper() if method else "", name, bisect_right(feeds, m.start() - 1) + 1
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """(path, framework, what, method, name, line) found in files (path, content, language); lines count from 1."""
-    parts = []
-    for name, languages, what, pattern, method, value in RULES:
-        own = files.where(F.col("language").isin(*languages))
-        found = own.select("path", "content", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), 0)).alias("i", "m"))
-        # the line is that of the i-th match: line feeds in what stands before it
-        before = F.slice(F.split("content", pattern), 1, F.col("i") + 1)
-        earlier = F.slice(F.regexp_extract_all("content", F.lit(pattern), 0), 1, F.col("i"))
-        feeds = lambda x: F.length(F.array_join(x, "")) - F.length(F.regexp_replace(F.array_join(x, ""), "\n", ""))
-        parts.append(found.select("path", F.lit(name).alias("framework"), F.lit(what).alias("what"), (F.upper(F.regexp_extract("m", pattern, method)) if method else F.lit("")).alias("method"), F.regexp_extract("m", pattern, value).alias("name"), (feeds(before) + feeds(earlier) + 1).cast("int").alias("line")))
-    return reduce(DataFrame.unionByName, parts)
+    """(path, framework, what, method, name, line) found in files (path, content, language), each read once; lines count from 1."""
+    names = [x.split()[0] for x in DECLARED.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [r for p, c, g in zip(pdf.path, pdf.content, pdf.language, strict=True) if c and g for r in file_declarations(p, c, g)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.select("path", "content", "language").mapInPandas(run, DECLARED)
 
 
 def response_keys(content: Column) -> Column:

@@ -167,3 +167,17 @@ def test_searched_patterns():
     assert f("grep", {"pattern": r"\bsaveOrder\("}) == "saveOrder" and f("glob", {"pattern": "src/**/*order*.ts"}) == "order"
     assert f("bash", {"command": "cd x && grep -rn 'parse url' src"}) == "parse url"
     assert f("bash", {"command": "ls"}) is None and f("grep", {"pattern": "a"}) is None
+
+
+def test_masking_fallback_and_prefixes():
+    plain = extract.masked("a = 'x{' // {\n/* {\n*/ b", "typescript")
+    assert plain == "a = '  '     \n    \n   b" and extract.masked("# {\nx = \"}\"", "ruby") == "   \nx = \" \""
+    assert "'a" in extract.masked("fn f<'a>(x: &'a str) {}", "rust")
+    rows = extract.file_rows("a.swift", "fileprivate actor X {}\n// class No\nmodule Shop\n", "swift")
+    assert [(r["kind"], r["name"], r["start_line"]) for r in rows if r["what"] == "symbol"] == [("module", "Shop", 3)]
+    bad = extract.file_rows("a.py", "def f(x):\n    pass\nclass K(:\n", "python")
+    assert [(r["what"], r["name"], r["seq"]) for r in bad] == [("diagnostic", None, 0), ("symbol", "f", 1), ("symbol", "K", 2)]
+    source = "@Controller('users')\nclass A {\n  @Get(':id')\n  one() {}\n}\n"
+    assert [r[2:] for r in frameworks.file_declarations("a.ts", source, "typescript")] == [("route", "GET", "/users/:id", 3), ("controller", "", "users", 1)]
+    java = '@RequestMapping("/api")\npublic class A {\n  @GetMapping("/x")\n  void x() {}\n}\n'
+    assert [r[2:] for r in frameworks.file_declarations("A.java", java, "java")] == [("route", "GET", "/api/x", 3)]
