@@ -17,7 +17,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from codeloom.llm.common import text_steps
+from codeloom.llm.common import held, text_steps
 from codeloom.llm.textkernel import PART_BYTES, gather, parts, slice_hashes
 
 _LETTER, _DIGIT, _OTHER, _SPACE, _UNKNOWN = range(5)
@@ -182,11 +182,6 @@ class ByteBpe:
             yield i, j, data, offsets, *self.encode_step(data, offsets)
 
 
-_ENCODERS: dict[str, ByteBpe] = {}
-
-
 def encoder(path: str) -> ByteBpe:
     """This worker's encoder for the vocabulary file ``path``."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ByteBpe(path)
-    return _ENCODERS[path]
+    return held(("byte_bpe", path), lambda: ByteBpe(path))

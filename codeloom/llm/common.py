@@ -51,13 +51,35 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def give_back() -> None:
-    """Return freed memory to the system, after a training that made many small arrays on the driver."""
+    """Return freed memory to the system: after a training that made many small arrays, and at the end of a worker's task."""
     gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
     if trim is not None:
         trim(0)
 
 
+_HELD: dict = {}
+
+
+def held(token: object, make):
+    """What a worker keeps of one operator from task to task; it is made once, after what another operator left is dropped.
+
+    Functions that run in tasks must reach it through this function: a global of theirs
+    would be a copy in each task, which garbage keeps alive.
+    """
+    if token not in _HELD:
+        release()
+        _HELD[token] = make()
+    return _HELD[token]
+
+
+def release() -> None:
+    """Drop what this worker keeps for tasks of other operators."""
+    if _HELD:
+        _HELD.clear()
+        give_back()
+
+
 def text_steps(col: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with at most ``limit`` bytes, or one row.
 

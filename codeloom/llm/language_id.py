@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import beside, give_back, small_batches, text_steps
+from codeloom.llm.common import beside, give_back, held, small_batches, text_steps
 from codeloom.llm.sentencepiece_offsets import fields
 from codeloom.llm.textkernel import LETTERS, LOWER, PrefixHash, WordTable, mix64, runs
 
@@ -236,9 +236,6 @@ def sample(docs: DataFrame, learn: Column, per_language: int = 200, most_bytes:
     return [(r.t, r.y) for r in picked.select("t", "y").collect()]
 
 
-_TABLES: dict[tuple, WordTable] = {}
-
-
 def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """doc_id, lang_pred and score (the language's share of the probability, 0 to 1); with ``keep_columns`` after all columns of ``docs``, in place of any of those names.
 
@@ -252,11 +249,11 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, i
     token = (vocabulary, uuid.uuid4().hex)
 
     def table() -> WordTable:
-        if token not in _TABLES:
-            _TABLES.clear()
+        def make() -> WordTable:
             pieces = Pieces(vocabulary)
-            _TABLES[token] = WordTable(lambda words: forward(pieces, [letters_only(w) for w in words], model.value[1]), len(langs))
-        return _TABLES[token]
+            return WordTable(lambda words: forward(pieces, [letters_only(w) for w in words], model.value[1]), len(langs))
+
+        return held(token, make)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,6 +277,7 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, vocabulary: str, i
                 scores.append(share)
             columns = batch.columns[:-1]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [*batch.schema.names[:-1], "lang_pred", "score"])
+        give_back()
 
     own = [F.col(f"`{c}`") for c in beside(docs, ("lang_pred", "score"))] if keep_columns else [F.col(id_col).cast("long").alias("doc_id")]
     rows = docs.select(*own, F.col(text_col).cast("string").alias(token[1]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import remove, shared_dir, small_batches, text_steps, written
+from codeloom.llm.common import give_back, release, remove, shared_dir, small_batches, text_steps, written
 from codeloom.llm.components import components
 from codeloom.llm.textkernel import mix64, shingle_sets, word_hashes
 
@@ -105,6 +105,7 @@ def sketch(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFram
     """doc_id, n_shingles, f1, f2 (a 128-bit fingerprint of the set) and sig (16 bits a slot; null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i, j, data, offsets in text_steps(batch.column(1)):
                 sets, bounds = shingle_sets(*word_hashes(data, offsets), s.words)
@@ -116,6 +117,7 @@ def sketch(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFram
                     prints.append((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
                 sig = mix64(superminhash(sets, bounds, s.slots)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].cast(pa.int64()), pa.array(n), *map(pa.array, prints), _binary(sig)], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")

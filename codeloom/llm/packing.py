@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.bytebpe import encoder
-from codeloom.llm.common import small_batches
+from codeloom.llm.common import give_back, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -99,5 +99,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048
                     names, ids, held = [], [], 0
         if ids:
             yield from emit()
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_batches
+from codeloom.llm.common import held, small_batches
 
 _META = "▁".encode()
 SCHEMA = "doc_id long, n_tokens long, ids binary, starts binary, ends binary, decoded string"
@@ -158,13 +158,8 @@ class Model:
         return first, np.where(n > 0, np.maximum(end[np.maximum(hi - 1, 0)], first), first)
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def model(path: str) -> Model:
-    if path not in _MODELS:
-        _MODELS[path] = Model(path)
-    return _MODELS[path]
+    return held(("piece_bpe", path), lambda: Model(path))
 
 
 def encode_decode(docs: DataFrame, path: str, begin: bool = True, end: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -177,11 +177,15 @@ class WordTable:
     """Rows of numbers for words, computed once for each distinct word that a worker meets.
 
     ``compute`` takes a list of words as bytes and returns an array with a row for each.
-    At most ``keep`` words (and those of one step) are remembered.
+    At most ``keep`` words (and those of one step) are remembered, by default as many as
+    take ``HELD_BYTES``.
     """
 
-    def __init__(self, compute, width: int, keep: int = 1_000_000) -> None:
-        self.compute, self.width, self.keep = compute, width, keep
+    HELD_BYTES = 32 << 20
+
+    def __init__(self, compute, width: int, keep: int | None = None) -> None:
+        self.compute, self.width = compute, width
+        self.keep = self.HELD_BYTES // (8 * width + 16) if keep is None else keep
         self._forget()
 
     def _forget(self) -> None:

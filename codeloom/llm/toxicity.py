@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import beside, give_back, small_batches, text_steps
+from codeloom.llm.common import beside, give_back, held, small_batches, text_steps
 from codeloom.llm.textkernel import BYTE_CODE, LETTERS, LOWER, PrefixHash, WordTable, runs
 
 BUCKETS = 1 << 18
@@ -134,9 +134,6 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 14_000
     return [(r.t, r.y) for r in picked.select("t", "y").collect()]
 
 
-_TABLES: dict[str, WordTable] = {}
-
-
 def score(docs: DataFrame, numbers: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """doc_id and score (probability of class 1); with ``keep_columns`` score after all columns of ``docs``, in place of one of that name.
 
@@ -149,15 +146,11 @@ def score(docs: DataFrame, numbers: np.ndarray, bias: float, id_col: str = "doc_
     token = uuid.uuid4().hex
 
     def table() -> WordTable:
-        if token not in _TABLES:
-            _TABLES.clear()
-
-            def compute(words: list[bytes]) -> np.ndarray:
-                buckets, many = subwords(words)
-                return np.column_stack([np.bincount(np.repeat(np.arange(len(words)), many), model.value[buckets], len(words)), many])
+        def compute(words: list[bytes]) -> np.ndarray:
+            buckets, many = subwords(words)
+            return np.column_stack([np.bincount(np.repeat(np.arange(len(words)), many), model.value[buckets], len(words)), many])
 
-            _TABLES[token] = WordTable(compute, 2)
-        return _TABLES[token]
+        return held(token, lambda: WordTable(compute, 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,6 +160,7 @@ def score(docs: DataFrame, numbers: np.ndarray, bias: float, id_col: str = "doc_
                 logit = SCALE * total[:, 0] / (total[:, 1] + BLANKS) + bias
                 found.append(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found))], [*batch.schema.names[:-1], "score"])
+        give_back()
 
     own = [F.col(f"`{c}`") for c in beside(docs, ("score",))] if keep_columns else [F.col(id_col).cast("long").alias("doc_id")]
     rows = docs.select(*own, F.col(text_col).cast("string").alias(token))
