@@ -70,12 +70,24 @@ def covering(points: DataFrame, symbols: DataFrame, mode: str = "first") -> Data
     """For each point (point_id, file_path, line) the symbol around it.
 
     ``first``: the first by seq whose lines hold it; ``enclosing``: the smallest that does.
+    A symbol's lines are cut into blocks of 2^k lines at multiples of 2^k, at most two of a
+    size, and each block keeps only its best symbol.  A line then asks the one block of each
+    size that holds it: rows follow both inputs, however many symbols lie over a line.
     """
-    p = points.withColumn("__cell", F.floor(F.col("line") / CELL))
-    s = _cells(symbols.select("id", "file_path", "start_line", "end_line", "seq"), "start_line", "end_line")
-    hit = p.join(s, ["file_path", "__cell"]).where("line between start_line and end_line")
-    order = [F.col("seq")] if mode == "first" else [F.col("end_line") - F.col("start_line"), F.col("seq")]
-    return first_by(hit, ["point_id"], *order).select("point_id", "file_path", "line", "id")
+    s = symbols.select("id", "file_path", F.col("start_line").cast("long").alias("__a"), (F.col("end_line").cast("long") + 1).alias("__b"), "seq").where("__a < __b")
+    rank = ["seq", "id"] if mode == "first" else ["lines", "seq", "id"]
+    s = s.groupBy("file_path", "__a", "__b").agg(F.min(F.struct(*[(F.col("__b") - F.col("__a")).alias("lines") if c == "lines" else F.col(c) for c in rank])).alias("best"))
+    shift = "shiftright({}, k)".format
+    low, high = shift("__a + shiftleft(1L, k) - 1"), shift("__b")  # the blocks of a size from __a on, and up to __b
+    two = f"array(if({low} < {high} and ({low} & 1) = 1, {low}, null), if({low} < {high} and ({high} & 1) = 1, {high} - 1, null))"
+    blocks = f"flatten(transform(sequence(0, length(bin(__b - __a)) - 1), k -> transform(array_compact({two}), c -> struct(k as k, c as c))))"
+    cells = s.select("file_path", F.expr(f"explode({blocks})").alias("__x"), "best").groupBy("file_path", "__x.k", "__x.c").agg(F.min("best").alias("best"))
+    top = cells.agg(F.coalesce(F.max("k"), F.lit(0)).alias("top"))  # one row
+    p = points.select("point_id", "file_path", "line").distinct()
+    lines = p.select("file_path", "line").where("line is not null").distinct().crossJoin(F.broadcast(top))
+    asked = lines.select("file_path", "line", F.explode(F.sequence(F.lit(0), "top")).alias("k")).withColumn("c", F.expr("shiftright(cast(line as long), k)"))
+    best = asked.join(cells, ["file_path", "k", "c"]).groupBy("file_path", "line").agg(F.min("best").alias("best"))
+    return p.join(best, ["file_path", "line"]).select("point_id", "file_path", "line", "best.id")
 
 
 def tiered(refs: DataFrame, tiers: dict[str, DataFrame]) -> DataFrame:
