@@ -138,11 +138,21 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def heritage(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(ref_id, child_id, parent_id): child by name, in its own file if there is one; the first other symbol of the parent's name."""
-    child = pairs.join(symbols.select(F.col("id").alias("child_id"), F.col("name").alias("child"), F.col("file_path").alias("cf"), F.col("seq").alias("cs")), "child")
-    child = first_by(child, ["ref_id"], (F.col("cf") != F.col("file_path")).cast("int"), F.col("cs")).select("ref_id", "parent", "child_id")
-    parent = child.join(symbols.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"), F.col("seq").alias("ps")), "parent").where("parent_id <> child_id")
-    return first_by(parent, ["ref_id"], F.col("ps")).select("ref_id", "child_id", "parent_id")
+    """(ref_id, child_id, parent_id): child by name, in its own file if there is one; the first other symbol of the parent's name.
+
+    Names are reduced before they are joined: to the first symbol of a name and file, the
+    first of a name, and the first two ids of a name, one of which is not the child.
+    """
+    first = F.min(F.struct("seq", "id"))
+    by_name = symbols.groupBy(F.col("name").alias("child")).agg(first.alias("any"))
+    by_file = symbols.groupBy(F.col("name").alias("child"), "file_path").agg(first.alias("own"))
+    child = pairs.join(by_name, "child").join(by_file, ["child", "file_path"], "left")
+    child = first_by(child, ["ref_id"], F.col("own").isNull(), F.coalesce("own.seq", "any.seq")).select("ref_id", "parent", F.when(F.col("own").isNotNull(), F.col("own.id")).otherwise(F.col("any.id")).alias("child_id"))
+    ids = symbols.where("id is not null").groupBy("name", "id").agg(F.min("seq").alias("seq"))
+    ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("seq", "id"))).where("r <= 2")
+    two = ids.groupBy(F.col("name").alias("parent")).agg(*[F.min(F.when(F.col("r") == r, F.col("id"))).alias(c) for r, c in ((1, "one"), (2, "two"))])
+    found = child.where("child_id is not null").join(two, "parent").select("ref_id", "child_id", F.when(F.col("one") != F.col("child_id"), F.col("one")).otherwise(F.col("two")).alias("parent_id"))
+    return found.where("parent_id is not null")
 
 
 def imported_symbols(imports: DataFrame, symbols: DataFrame) -> DataFrame:
