@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import fixed, graph, text
 from codeloom.operators.traverse import reach
-from codeloom.session import cut
+from codeloom.session import by_key, cut
 
 _STARTS = ("function", "method", "class")
 
 
 def entry_points(symbols: DataFrame, calls: DataFrame, most: int | None = None) -> DataFrame:
     """(id, score), best first: what calls more than calls it, by name and visibility."""
-    known = symbols.select("id")
+    known = by_key(symbols.select("id"))
     e = calls.select("src", "dst").distinct().join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     came = e.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
     went = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("callees"))
-    rows = symbols.where(F.col("kind").isin(*_STARTS)).join(went, "id").join(came, "id", "left").na.fill(0, ["callers"])
+    rows = symbols.where(F.col("kind").isin(*_STARTS)).join(by_key(went), "id").join(by_key(came), "id", "left").na.fill(0, ["callers"])
     score = graph.entry_score(F.col("name"), F.col("visibility") == "public", F.col("callers"), F.col("callees"))
     rows = rows.select("id", score.alias("score"), "seq").where(F.col("score") > fixed.ENTRY_POINT_THRESHOLD).orderBy(F.desc("score"), "seq")
     return (rows if most is None else rows.limit(most)).select("id", "score")
@@ -38,7 +38,7 @@ def flow_traces(entries: DataFrame, calls: DataFrame, depth: int = fixed.MAX_TRA
     w = Window.partitionBy("src").orderBy("seq", "dst")
     few = cut(calls.groupBy("src", "dst").agg(F.min("seq").alias("seq")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= branches).select("src", "dst", "k"))
     near = reach(few, entries, depth).select(F.col("seed").alias("entry"), "id").union(entries.select(F.col("id").alias("entry"), "id")).distinct()
-    own = near.join(few, F.col("id") == F.col("src")).select("entry", "src", "dst", "k")
+    own = near.join(by_key(few), F.col("id") == F.col("src")).select("entry", "src", "dst", "k")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, list[str]] = {}
@@ -71,19 +71,19 @@ def longest_chain(adjacency: dict[str, list[str]], entry: str, depth: int = fixe
 
 def distinct_traces(traces: DataFrame, entries: DataFrame) -> DataFrame:
     """One trace per path, that of the best entry (G7, O12); ``entries`` has id, score."""
-    t = traces.join(entries.select(F.col("id").alias("entry"), "score"), "entry")
+    t = traces.join(by_key(entries.select(F.col("id").alias("entry"), "score")), "entry")
     w = Window.partitionBy("path").orderBy(F.desc("score"), "entry")
     return t.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
 def processes(traces: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Processes (id, name, entry_point) and their steps (process_id, step_order, symbol_id)."""
-    named = symbols.select("id", "name")
+    named = by_key(symbols.select("id", "name"))
     t = traces.select("entry", "path", "score", F.element_at("path", -1).alias("last"))
     t = t.join(named.select(F.col("id").alias("entry"), F.col("name").alias("a")), "entry").join(named.select(F.col("id").alias("last"), F.col("name").alias("b")), "last")
     i = F.row_number().over(Window.orderBy(F.desc("score"), "entry")) - 1
     safe = F.lower(F.substring(F.regexp_replace("a", "[^a-zA-Z0-9]", "_"), 1, 24))
-    t = t.withColumn("id", F.concat(F.lit("process_"), i.cast("string"), F.lit("_"), safe))
+    t = cut(t.withColumn("id", F.concat(F.lit("process_"), i.cast("string"), F.lit("_"), safe)))
     heads = t.select("id", F.concat(text.capitalised(F.col("a")), F.lit(" → "), text.capitalised(F.col("b"))).alias("name"), F.col("entry").alias("entry_point"))
     return heads, t.select(F.col("id").alias("process_id"), F.posexplode("path").alias("step_order", "symbol_id"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.fixed import MAX_DEPTH
-from codeloom.session import cut, cut_and_count, drop
+from codeloom.session import by_key, cut, cut_and_count, drop
 
 #: Edges that one task may hold as two arrays of numbers.
 TASK_EDGES = 2_000_000
@@ -132,8 +132,8 @@ def _grown(step: DataFrame, frontier: DataFrame, most: int, keys: list[str], mar
     found = frontier.withColumn("depth", F.lit(0)) if mark else frontier.limit(0).withColumn("depth", F.lit(0))
     found = cut(found)
     for depth in range(1, most + 1):
-        new = frontier.withColumnRenamed("id", "from_id").join(step, "from_id").select(*[k for k in keys if k != "id"], F.col("to_id").alias("id")).distinct()
-        new, n = cut_and_count(new.join(found.select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)))
+        new = frontier.withColumnRenamed("id", "from_id").join(by_key(step), "from_id").select(*[k for k in keys if k != "id"], F.col("to_id").alias("id")).distinct()
+        new, n = cut_and_count(new.join(by_key(found.select(*keys)), keys, "left_anti").withColumn("depth", F.lit(depth)))
         if not n:
             drop(new)
             break
