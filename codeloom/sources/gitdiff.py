@@ -38,10 +38,9 @@ def parse_unified(lines: DataFrame) -> DataFrame:
 
 def combine(status: DataFrame, hunks: DataFrame) -> DataFrame:
     """Changes with their hunks, one row per hunk or one without; deleted files have none, ignored paths go."""
-    h = hunks.select("path", "hunk_start", "hunk_lines")
-    live = status.where("status <> 'deleted'").join(h, "path", "left")
-    gone = status.where("status = 'deleted'").withColumns({"hunk_start": F.lit(None).cast("int"), "hunk_lines": F.lit(None).cast("int")})
-    return live.unionByName(gone).where(~graph.is_ignored(F.col("path"))).select("path", "old_path", "status", "hunk_start", "hunk_lines")
+    h = hunks.select(F.col("path").alias("of"), "hunk_start", "hunk_lines")
+    rows = status.where(~graph.is_ignored(F.col("path")))
+    return rows.join(h, (F.col("path") == F.col("of")) & (F.col("status") != "deleted"), "left").select("path", "old_path", "status", "hunk_start", "hunk_lines")
 
 
 def diff(spark: SparkSession, repository: str, scope: str = "unstaged", base: str | None = None) -> DataFrame:
