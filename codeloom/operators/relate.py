@@ -90,18 +90,21 @@ def covering(points: DataFrame, symbols: DataFrame, mode: str = "first") -> Data
     return p.join(best, ["file_path", "line"]).select("point_id", "file_path", "line", "best.id")
 
 
-def tiered(refs: DataFrame, tiers: dict[str, DataFrame]) -> DataFrame:
+def tiered(refs: DataFrame, tiers: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """Each reference's symbol in the first tier that has one: (ref_id, id, tier, confidence).
 
-    Tiers are candidates (ref_id, id, seq) by name, in the order of priority; inside a tier
-    the smallest seq wins.  References that no tier resolves have null id and confidence.
+    Tiers are candidates (the keys, id, seq) of references with such keys, in the order of
+    priority; inside a tier the smallest seq wins, and so it does among references of one
+    ref_id.  References that no tier resolves have null id and confidence.
     """
     rows = None
     for rank, (name, found) in enumerate(tiers.items()):
-        own = found.select("ref_id", "id", "seq", F.lit(rank).alias("rank"), F.lit(name).alias("tier"), F.lit(fixed.TIERS.get(name, 0.5)).alias("confidence"))
+        own = found.select(*keys, "id", "seq", F.lit(rank).alias("rank"), F.lit(name).alias("tier"), F.lit(fixed.TIERS.get(name, 0.5)).alias("confidence"))
         rows = own if rows is None else rows.unionByName(own)
-    best = first_by(rows, ["ref_id"], F.col("rank"), F.col("seq"), F.col("id")).select("ref_id", "id", "tier", "confidence")
-    return refs.select("ref_id").join(best, "ref_id", "left")
+    best = first_by(rows, keys, F.col("rank"), F.col("seq"), F.col("id"))
+    w = Window.partitionBy("ref_id").orderBy(F.asc_nulls_last("rank"), "seq", "id")
+    first = F.first(F.when(F.col("ref_id").isNotNull(), F.struct("id", "tier", "confidence"))).over(w)
+    return refs.join(best, keys, "left").select("ref_id", first.alias("f")).select("ref_id", "f.id", "f.tier", "f.confidence")
 
 
 def resolve_names(refs: DataFrame, symbols: DataFrame, imports: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
@@ -109,19 +112,22 @@ def resolve_names(refs: DataFrame, symbols: DataFrame, imports: DataFrame, bindi
 
     ``imports`` has file_path, imported_file; ``bindings`` has file_path, name, id.  In a
     file the last symbol of a name counts; a name anywhere counts if it is the only one.
+    Each file and name is resolved once, however many references have it, and of a
+    package's folder the first two symbols of a name are enough: one is of another file.
     """
     s = symbols.select("id", "name", "file_path", "seq", F.regexp_replace("file_path", "[^/]*$", "").alias("dir"))
     last = first_by(s, ["file_path", "name"], F.desc("seq"))
-    r = refs.withColumn("dir", F.regexp_replace("file_path", "[^/]*$", ""))
+    r = refs.select("file_path", "name").distinct().withColumn("dir", F.regexp_replace("file_path", "[^/]*$", ""))
     same = r.join(last.select("file_path", "name", "id", "seq"), ["file_path", "name"])
     tiers = {"same-file": same}
     if bindings is not None:
         tiers["named"] = r.join(bindings.select("file_path", "name", "id").withColumn("seq", F.lit(0)), ["file_path", "name"])
     tiers["import-scoped"] = r.join(imports.select("file_path", F.col("imported_file").alias("f")), "file_path").join(last.select(F.col("file_path").alias("f"), "name", "id", "seq"), ["f", "name"])
-    tiers["package"] = r.select("ref_id", "dir", "name", F.col("file_path").alias("f")).join(last.select("dir", "name", "id", "seq", "file_path"), ["dir", "name"]).where("file_path <> f")
+    two = last.withColumn("r", F.row_number().over(Window.partitionBy("dir", "name").orderBy("seq", "id"))).where("r <= 2").select("dir", "name", "id", "seq", F.col("file_path").alias("f"))
+    tiers["package"] = r.join(two, ["dir", "name"]).where("file_path <> f")
     only = s.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("seq").alias("seq")).where("n = 1")
     tiers["global"] = r.join(only, "name")
-    return tiered(r, tiers)
+    return tiered(refs, tiers, ["file_path", "name"])
 
 
 def longest_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
