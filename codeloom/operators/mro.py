@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.cluster import connected
 from codeloom.operators.relate import first_by
+from codeloom.session import by_key
 
 
 def breadth_first(parents: dict[str, list[str]], start: str) -> list[str]:
@@ -77,7 +78,7 @@ def linearise(heritage: DataFrame) -> DataFrame:
     solved in the task of its connected component.
     """
     pairs = heritage.where("child <> parent").select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b")).distinct()
-    h = heritage.join(connected(pairs), F.col("child") == F.col("id")).select("component", "child", "parent", "seq")
+    h = heritage.join(by_key(connected(pairs)), F.col("child") == F.col("id")).select("component", "child", "parent", "seq")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         parents: dict[str, list[str]] = {}
@@ -102,9 +103,9 @@ def overrides(order: DataFrame, methods: DataFrame) -> DataFrame:
     """
     own = methods.where("not abstract").select(F.col("id").alias("src"), F.col("owner").alias("class"), "name", "params")
     up = methods.select(F.col("id").alias("dst"), F.col("owner").alias("ancestor"), F.col("name").alias("n2"), F.col("params").alias("p2"), (F.col("owner_kind") == "interface").alias("interface"))
-    found = own.join(order, "class").join(up, "ancestor").where("name = n2 and (params is null or p2 is null or params = p2)")
+    found = own.join(by_key(order), "class").join(by_key(up), "ancestor").where("name = n2 and (params is null or p2 is null or params = p2)")
     concrete = found.where("not interface").groupBy("src").agg(F.min("position").alias("stop"))
-    kept = found.join(concrete, "src", "left").where("stop is null or position <= stop")
+    kept = found.join(by_key(concrete), "src", "left").where("stop is null or position <= stop")
     kept = kept.where("interface or position = stop")
     return kept.select("src", "dst", F.when(F.col("interface"), "methodImplements").otherwise("overrides").alias("rel_type")).distinct()
 
@@ -112,8 +113,8 @@ def overrides(order: DataFrame, methods: DataFrame) -> DataFrame:
 def member_calls(calls: DataFrame, order: DataFrame, methods: DataFrame) -> DataFrame:
     """(call_id, id): the method that a call (call_id, receiver_class, name) runs: the class's own, else the first ancestor's."""
     own = calls.select("call_id", "name", F.col("receiver_class").alias("owner"), F.lit(-1).alias("position"))
-    up = calls.join(order, F.col("receiver_class") == F.col("class")).select("call_id", "name", F.col("ancestor").alias("owner"), "position")
-    return first_by(own.union(up).join(methods.select("id", "owner", "name"), ["owner", "name"]), ["call_id"], F.col("position"), F.col("id")).select("call_id", "id")
+    up = calls.join(by_key(order), F.col("receiver_class") == F.col("class")).select("call_id", "name", F.col("ancestor").alias("owner"), "position")
+    return first_by(own.union(up).join(by_key(methods.select("id", "owner", "name")), ["owner", "name"]), ["call_id"], F.col("position"), F.col("id")).select("call_id", "id")
 
 
 def receiver_type(expression: str, variables: dict[str, str], returns: dict[tuple[str, str], str], functions: dict[str, str] | None = None) -> str | None:

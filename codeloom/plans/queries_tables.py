@@ -8,7 +8,7 @@ from codeloom.functions import graph, text
 from codeloom.operators import cluster, mro, relate, store, traverse
 from codeloom.plans import fixtures as fx
 from codeloom.plans.queries import T, _CORE, _reach_sql, query
-from codeloom.session import shared_folder
+from codeloom.session import by_key, shared_folder
 from codeloom.sources import files as source_files
 from codeloom.sources import gitdiff
 
@@ -282,7 +282,7 @@ def _tree(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("brand").orderBy("seq"))
     own = fx.symbols(spark, sf_dir).select("id", "brand", "seq", n.alias("n"), F.concat(F.lit("m"), (F.col("seq") % 3).cast("string")).alias("name"), (F.col("seq") % 2).cast("int").alias("params"))
     above = own.select("brand", F.col("n").alias("half"), F.col("id").alias("parent"))
-    heritage = own.withColumn("half", F.expr("n div 2")).join(above, ["brand", "half"]).select(F.col("id").alias("child"), "parent", F.lit(0).alias("seq"))
+    heritage = own.withColumn("half", F.expr("n div 2")).join(by_key(above), ["brand", "half"]).select(F.col("id").alias("child"), "parent", F.lit(0).alias("seq"))
     methods = own.select(F.concat("id", F.lit("."), "name").alias("id"), F.col("id").alias("owner"), "name", "params", F.lit(False).alias("abstract"), F.lit("class").alias("owner_kind"))
     return own, heritage, methods
 
