@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from codeloom.operators.relate import first_by
 
@@ -99,19 +103,29 @@ def cache_put(cache: DataFrame, new: DataFrame, most: int = 200_000) -> DataFram
 def budget_batches(rows: DataFrame, size: Column, most_bytes: int, most_rows: int, keys: list[str], order: str) -> DataFrame:
     """``rows`` with batch (from 0 inside the keys): runs in order of at most so many bytes and rows; what is too large stands alone.
 
-    A fold over each key's sizes; keys are the partitions that are written together.
+    A fold over each key's rows as they come sorted out of a window, so that a task holds
+    neither a key's rows nor its batches; keys are the partitions that are written together.
     """
-    w = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), size.alias("s"))))
-    zero = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["used"] + x["s"] > most_bytes) | (acc["n"] >= most_rows))
-        b = F.when(full, acc["b"] + 1).otherwise(acc["b"])
-        return F.struct(b.alias("b"), (F.when(full, F.lit(0)).otherwise(acc["used"]) + x["s"]).cast("long").alias("used"), (F.when(full, F.lit(0)).otherwise(acc["n"]) + 1).alias("n"), F.concat(acc["out"], F.array(b)).alias("out"))
-
-    grouped = rows.groupBy(*keys).agg(w.alias("w"))
-    placed = grouped.withColumn("b", F.aggregate("w", zero, step)["out"]).select(*keys, F.explode(F.arrays_zip("w", "b")).alias("x"))
-    return rows.join(placed.select(*keys, F.col("x.w.o").alias(order), F.col("x.b").alias("batch")), [*keys, order])
+    names = rows.columns
+    w = Window.partitionBy(*keys).orderBy(order)
+    sized = rows.withColumns({"__k": F.row_number().over(w), "__s": size.cast("long")})
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = n = used = 0
+        for part in parts:
+            out = []
+            for k, s in zip(part.column("__k").to_pylist(), part.column("__s").to_pylist(), strict=True):
+                if k == 1:
+                    b = n = used = 0
+                full = used is not None and s is not None and used + s > most_bytes  # an unknown size fills nothing
+                if n and (full or n >= most_rows):
+                    b, n, used = b + 1, 0, 0
+                used = None if used is None or s is None else used + s
+                n += 1
+                out.append(b)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(out, pa.int32())], names=[*names, "batch"])
+
+    return sized.mapInArrow(fold, StructType([*rows.schema.fields, StructField("batch", IntegerType())]))
 
 
 def write_snapshot(folder: str, **tables: DataFrame) -> None:
