@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import fixed, graph
+from codeloom.session import by_key, cut, cut_and_count
 
 #: Lines that one cell of the interval joins spans.
 CELL = 256
+#: Lines with their symbols that every machine may hold.
+FEW_LINES = 1_000_000
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -66,13 +69,15 @@ def overlaps(symbols: DataFrame, hunks: DataFrame) -> DataFrame:
     return symbols.join(hit.union(all_of).distinct(), "id", "left_semi")
 
 
-def covering(points: DataFrame, symbols: DataFrame, mode: str = "first") -> DataFrame:
+def covering(points: DataFrame, symbols: DataFrame, mode: str = "first", few: int = FEW_LINES) -> DataFrame:
     """For each point (point_id, file_path, line) the symbol around it.
 
     ``first``: the first by seq whose lines hold it; ``enclosing``: the smallest that does.
     A symbol's lines are cut into blocks of 2^k lines at multiples of 2^k, at most two of a
     size, and each block keeps only its best symbol.  A line then asks the one block of each
     size that holds it: rows follow both inputs, however many symbols lie over a line.
+    Points are made and written once; up to ``few`` lines with a symbol go to the points,
+    which are not shuffled then.
     """
     s = symbols.select("id", "file_path", F.col("start_line").cast("long").alias("__a"), (F.col("end_line").cast("long") + 1).alias("__b"), "seq").where("__a < __b")
     rank = ["seq", "id"] if mode == "first" else ["lines", "seq", "id"]
@@ -83,11 +88,12 @@ def covering(points: DataFrame, symbols: DataFrame, mode: str = "first") -> Data
     blocks = f"flatten(transform(sequence(0, length(bin(__b - __a)) - 1), k -> transform(array_compact({two}), c -> struct(k as k, c as c))))"
     cells = s.select("file_path", F.expr(f"explode({blocks})").alias("__x"), "best").groupBy("file_path", "__x.k", "__x.c").agg(F.min("best").alias("best"))
     top = cells.agg(F.coalesce(F.max("k"), F.lit(0)).alias("top"))  # one row
-    p = points.select("point_id", "file_path", "line").distinct()
+    p = cut(points.select("point_id", "file_path", "line").distinct())
     lines = p.select("file_path", "line").where("line is not null").distinct().crossJoin(F.broadcast(top))
     asked = lines.select("file_path", "line", F.explode(F.sequence(F.lit(0), "top")).alias("k")).withColumn("c", F.expr("shiftright(cast(line as long), k)"))
     best = asked.join(cells, ["file_path", "k", "c"]).groupBy("file_path", "line").agg(F.min("best").alias("best"))
-    return p.join(best, ["file_path", "line"]).select("point_id", "file_path", "line", "best.id")
+    best, n = cut_and_count(best.select("file_path", "line", "best.id"))
+    return p.join(F.broadcast(best) if n <= few else by_key(best), ["file_path", "line"]).select("point_id", "file_path", "line", "id")
 
 
 def tiered(refs: DataFrame, tiers: dict[str, DataFrame], keys: list[str]) -> DataFrame:
